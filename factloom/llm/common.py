@@ -55,3 +55,22 @@ def without_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFr
     """Rows of ``docs`` whose id is not in ``gone`` (one column); all columns and null ids stay."""
     ids = gone.toDF("__gone_id").distinct()
     return docs.join(checked_broadcast(ids), docs[key] == F.col("__gone_id"), "left_anti")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``rank, fold, y, text`` and ``extra`` columns of at most ``bound`` labelled texts outside the held-out fold.
+
+    The bounded sample is that of the smallest hashes of the id, so it does not depend on the layout;
+    its ids are few enough to be broadcast.
+    """
+    ids = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (residue("doc_id") != 2))
+        .groupBy(F.col("doc_id").cast("long").alias("__label_id"))
+        .agg(F.max(F.col(label).cast("int")).alias("__y"))
+        .orderBy(F.xxhash64("__label_id"), "__label_id")
+        .limit(bound)
+    )
+    slim = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", *extra)
+    fold = F.pmod(F.xxhash64("__doc", F.lit(7)), F.lit(2)).cast("int").alias("fold")
+    y = (F.col("__y") > 0).cast("int").alias("y")
+    return slim.join(F.broadcast(ids), F.col("__doc") == F.col("__label_id")).select(fold, y, "text", F.xxhash64("__doc").alias("rank"), *extra)
