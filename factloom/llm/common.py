@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, extra:
     fold = F.pmod(F.xxhash64("__doc", F.lit(7)), F.lit(2)).cast("int").alias("fold")
     y = (F.col("__y") > 0).cast("int").alias("y")
     return slim.join(F.broadcast(ids), F.col("__doc") == F.col("__label_id")).select(fold, y, "text", F.xxhash64("__doc").alias("rank"), *extra)
+
+
+def filtered(docs: DataFrame, text: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of ``docs`` whose text the judge keeps; whole rows pass, whatever their columns.
+
+    ``judge`` maps a column of texts to a boolean array.  Nothing is shuffled or joined, so repeated
+    and null ids need no care.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import filtered
 
 MIN_WORDS = 50
 BASE_WINDOW = 3
@@ -101,11 +102,28 @@ def repetition_measures(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in FIELDS))
 
 
+def verdicts(m: dict) -> tuple:
+    """``base_failed`` and ``kept`` from the measures, of arrays or of columns alike."""
+    failed = (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+    passes = m["dup_line_chars"] <= m["word_chars"] * LINE_CHARS_LIMIT
+    for n, limit in COVERAGE_LIMITS.items():
+        passes = passes & (m[f"dup_{n}gram_chars"] <= m["word_chars"] * limit)
+    return failed, ~failed & passes
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents whose verdict is ``kept``, with all their columns."""
+
+    def judge(texts: pa.Array) -> np.ndarray:
+        data, offsets = tc.utf8(texts)
+        found = [verdicts(measure(*tc.text_slice(data, offsets, i, j)))[1] for i, j in tc.pieces(offsets)]
+        return np.concatenate([*found, np.zeros(0, bool)])
+
+    return filtered(docs, "text", judge)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Measures with ``base_failed`` and ``kept`` for every row."""
     m = repetition_measures(docs)
-    failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    passes = F.col("dup_line_chars") <= F.col("word_chars") * F.lit(LINE_CHARS_LIMIT)
-    for n, limit in COVERAGE_LIMITS.items():
-        passes &= F.col(f"dup_{n}gram_chars") <= F.col("word_chars") * F.lit(limit)
-    return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes)
+    failed, kept = verdicts({k: F.col(k) for k in FIELDS})
+    return m.withColumn("base_failed", failed).withColumn("kept", kept)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, mixing, near_dup, quality_fm, quality_rules, token_count, toxicity
+from . import chat_format, decontaminate, html_extract, lm_score, mixing, near_dup, quality_fm, quality_rules, token_count, toxicity
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_fm.quality(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
@@ -99,6 +104,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, item_id, count(*) AS n_shared, n_item, CAST(count(*) AS DOUBLE) / n_item AS containment
         FROM g JOIN s USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item
     """,
+    "op3_lm_scoring": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+        t AS (SELECT doc_id, i, CASE WHEN i > 1 THEN w[i - 1] END AS u, w[i] AS v FROM p),
+        one AS (SELECT v, count(*) AS c FROM t GROUP BY v),
+        two AS (SELECT u, v, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY u, v HAVING count(*) >= 2),
+        n AS (SELECT sum(c) AS n FROM one),
+        s AS (SELECT t.doc_id, CASE WHEN two.c IS NOT NULL THEN ln(two.c) - ln(cu.c) ELSE ln(cv.c) - ln(n.n) + CASE WHEN t.u IS NULL THEN 0 ELSE ln(0.4) END END AS x
+              FROM t JOIN one cv ON cv.v = t.v LEFT JOIN one cu ON cu.v = t.u LEFT JOIN two ON two.u = t.u AND two.v = t.v, n),
+        g AS (SELECT doc_id, count(*) AS n_tokens, sum(x) AS x FROM s GROUP BY doc_id)
+        SELECT i.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(x, 0), 4) AS log_score, round(x / n_tokens, 6) AS mean_log_score
+        FROM (SELECT DISTINCT doc_id FROM d) i LEFT JOIN g ON i.doc_id IS NOT DISTINCT FROM g.doc_id
+    """,
     "op7_source_mixing": """
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import labelled, residue
+from .common import filtered, labelled, residue
 
 BUCKETS = 1 << 19
 PREFIX_BYTES = (3, 5, 7)
@@ -252,3 +252,15 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select(
         "doc_id", (residue("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages"
     )
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    used = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: pa.Array) -> np.ndarray:
+        data, offsets = tc.utf8(texts)
+        scores = [score_texts(*tc.text_slice(data, offsets, i, j), used.value)[0] for i, j in tc.pieces(offsets)]
+        return np.concatenate([*scores, np.zeros(0)]) < THRESHOLD
+
+    return filtered(docs, "text", judge)
