@@ -5,6 +5,237 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import aliases, scoring, votes
+from . import adapters
+from .adapters import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[run.__name__] = run
+        if oracle:
+            ORACLES[run.__name__] = oracle
+        return run
+
+    return add
+
+
+def joined(c: str, by: str = "|"):
+    """Array of strings as one string, for results that are compared as scalars."""
+    return F.array_join(c, by)
+
+
+# SQL shared by the scoring queries: gold and predicted sets of customers, matched by equality
+_PAIRS = """
+    gold AS (SELECT DISTINCT o_custkey AS k, 'priority' AS rel, o_orderpriority AS v FROM orders UNION SELECT DISTINCT o_custkey, 'status', o_orderstatus FROM orders),
+    pred AS (SELECT DISTINCT o_custkey AS k, 'priority' AS rel, o_orderpriority AS v FROM orders WHERE o_orderstatus = 'F'
+             UNION SELECT DISTINCT o_custkey, 'status', o_orderstatus FROM orders WHERE o_orderstatus = 'F'),
+    g AS (SELECT k, rel, count(*) AS total_gt FROM gold GROUP BY k, rel),
+    p AS (SELECT k, rel, count(*) AS total_pred FROM pred GROUP BY k, rel),
+    m AS (SELECT k, rel, count(*) AS tp FROM gold JOIN pred USING (k, rel, v) GROUP BY k, rel),
+    n AS (SELECT g.k, g.rel, coalesce(tp, 0) AS tp, coalesce(total_pred, 0) AS total_pred, total_gt FROM g LEFT JOIN p USING (k, rel) LEFT JOIN m USING (k, rel)),
+    s AS (SELECT *, CASE WHEN total_pred > 0 THEN tp * 1.0::DOUBLE / total_pred ELSE 1.0::DOUBLE END AS p, tp * 1.0::DOUBLE / total_gt AS r FROM n),
+    scores AS (SELECT CAST(k AS VARCHAR) AS SubjectEntity, rel AS Relation, p, r, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END AS f1, tp, total_pred, total_gt FROM s)
+"""
+_LABEL = "CASE WHEN grouping(Relation) = 1 THEN '*** All Relations ***' ELSE Relation END AS Relation"
+_SETS = "FROM scores GROUP BY GROUPING SETS ((Relation), ())"
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_pairs(*adapters.order_facts(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS} SELECT SubjectEntity, Relation, round(p, 9) AS p, round(r, 9) AS r, round(f1, 9) AS f1, tp, total_pred, total_gt FROM scores")
+def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scores(spark, sf_dir)
+    return s.select("SubjectEntity", "Relation", *[F.round(c, 9).alias(c) for c in ("p", "r", "f1")], *[F.col(c).cast("long").alias(c) for c in ("tp", "total_pred", "total_gt")])
+
+
+@query(f"WITH {_PAIRS} SELECT {_LABEL}, round(avg(p), 9) AS macro_p, round(avg(r), 9) AS macro_r, round(avg(f1), 9) AS macro_f1 {_SETS}")
+def macro_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = scoring.macro_average(_scores(spark, sf_dir))
+    return m.select("Relation", *[F.round(c, 9).alias(c) for c in ("macro_p", "macro_r", "macro_f1")])
+
+
+_MICRO = f"""WITH {_PAIRS}, t AS (SELECT {_LABEL}, sum(tp) AS tp, sum(total_pred) AS a, sum(total_gt) AS b {_SETS}),
+    q AS (SELECT Relation, CASE WHEN a > 0 THEN tp * 1.0::DOUBLE / a ELSE 1.0::DOUBLE END AS p, CASE WHEN b > 0 THEN tp * 1.0::DOUBLE / b ELSE 1.0::DOUBLE END AS r FROM t)
+    SELECT Relation, round(p, 9) AS micro_p, round(r, 9) AS micro_r, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS micro_f1 FROM q"""
+
+
+@query(_MICRO)
+def micro_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = scoring.micro_average(_scores(spark, sf_dir))
+    return m.select("Relation", *[F.round(c, 9).alias(c) for c in ("micro_p", "micro_r", "micro_f1")])
+
+
+@query(f"WITH {_PAIRS} SELECT {_LABEL}, round(avg(total_pred), 9) AS avg_preds, count(*) FILTER (WHERE total_pred = 0) AS empty_preds {_SETS}")
+def prediction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.prediction_statistics(_scores(spark, sf_dir)).select("Relation", F.round("avg_preds", 9).alias("avg_preds"), "empty_preds")
+
+
+@query(
+    f"""WITH {_PAIRS}, t AS (SELECT {_LABEL}, avg(p) AS macro_p, avg(r) AS macro_r, avg(f1) AS macro_f1, sum(tp) AS tp, sum(total_pred) AS a, sum(total_gt) AS b,
+        avg(total_pred) AS avg_preds, count(*) FILTER (WHERE total_pred = 0) AS empty_preds {_SETS}),
+    q AS (SELECT *, CASE WHEN a > 0 THEN tp * 1.0::DOUBLE / a ELSE 1.0::DOUBLE END AS p, CASE WHEN b > 0 THEN tp * 1.0::DOUBLE / b ELSE 1.0::DOUBLE END AS r FROM t)
+    SELECT Relation, round_even(macro_p, 3) AS macro_p, round_even(macro_r, 3) AS macro_r, round_even(macro_f1, 3) AS macro_f1, round_even(p, 3) AS micro_p, round_even(r, 3) AS micro_r,
+        round_even(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 3) AS micro_f1, round_even(avg_preds, 3) AS avg_preds, CAST(empty_preds AS INTEGER) AS empty_preds FROM q"""
+)
+def evaluator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.report(_scores(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PAIRS}, t AS (SELECT {_LABEL}, count(*) FILTER (WHERE total_pred = 0 AND total_gt = 0) AS tp, count(*) FILTER (WHERE total_pred = 0) AS a, count(*) FILTER (WHERE total_gt = 0) AS b {_SETS}),
+    q AS (SELECT Relation, CASE WHEN a > 0 THEN tp * 1.0::DOUBLE / a ELSE 1.0::DOUBLE END AS p, CASE WHEN b > 0 THEN tp * 1.0::DOUBLE / b ELSE 1.0::DOUBLE END AS r FROM t)
+    SELECT Relation, p AS zero_p, r AS zero_r, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END AS zero_f1 FROM q"""
+)
+def zero_object_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.zero_object_scores(_scores(spark, sf_dir))
+
+
+@query(
+    """WITH q AS (SELECT l_partkey, median(l_quantity) AS g, round(avg(l_quantity), 6) AS a FROM lineitem GROUP BY l_partkey)
+    SELECT CAST(l_partkey AS VARCHAR) AS SubjectEntity, CASE WHEN g <> 0 AND abs(a - g) / g <= 0.05 THEN 1 ELSE 0 END AS tp, 1 AS total_pred FROM q"""
+)
+def numeric_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_pairs(*adapters.quantity_facts(spark, sf_dir)).select("SubjectEntity", "tp", "total_pred")
+
+
+@query(
+    """WITH q AS (SELECT l_orderkey, l_linenumber, arg_min(l_quantity, l_partkey * 1000 + l_suppkey) AS x FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey AS row_idx, median(x) AS median FROM q GROUP BY l_orderkey"""
+)
+def median_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    pos = (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos")
+    passes = lines.select(F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("pass_idx"), pos, F.col("l_quantity").cast("string").alias("value"))
+    return votes.median_values(passes, passes)
+
+
+_BRANDS = """v AS (SELECT l_suppkey AS s, l_orderkey AS o, min(CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) AS pos, p_brand AS b
+              FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, l_orderkey, p_brand),
+    n AS (SELECT l_suppkey AS s, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_suppkey),
+    c AS (SELECT s, b, count(*) AS c, min(struct_pack(o := o, p := pos)) AS fs FROM v GROUP BY s, b)"""
+
+
+def _supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return votes.tally(*adapters.supplier_votes(spark, sf_dir))
+
+
+@query(f"WITH {_BRANDS} SELECT n.s AS row_idx, coalesce(string_agg(b, '|' ORDER BY fs) FILTER (WHERE c * 1.0::DOUBLE / n >= 0.05), '') AS result FROM n LEFT JOIN c USING (s) GROUP BY n.s")
+def support_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supplier(spark, sf_dir).withColumn("result", votes.support(0.05)).select("row_idx", joined("result").alias("result"))
+
+
+@query(f"WITH {_BRANDS} SELECT n.s AS row_idx, coalesce(string_agg(b, '|' ORDER BY fs), '') AS result FROM n LEFT JOIN c USING (s) GROUP BY n.s")
+def union_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supplier(spark, sf_dir).withColumn("result", votes.union()).select("row_idx", joined("result").alias("result"))
+
+
+_EVENTS = """t AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS none_n FROM events GROUP BY user_id),
+    c AS (SELECT user_id, event_type, count(*) AS c, min(event_id) AS fs FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type)"""
+
+
+def _user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return votes.tally(*adapters.user_votes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_EVENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, fs) AS rn FROM c)
+    SELECT t.user_id AS row_idx, CASE WHEN none_n > coalesce(c, 0) AND none_n * 1.0::DOUBLE / n >= 0.2 THEN '' ELSE coalesce(event_type, '') END AS result
+    FROM t LEFT JOIN k ON k.user_id = t.user_id AND rn = 1"""
+)
+def majority_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _user(spark, sf_dir).withColumn("result", votes.majority_or_none(0.2)).select("row_idx", joined("result").alias("result"))
+
+
+@query(
+    f"""WITH {_EVENTS}, m AS (SELECT user_id, max(c) AS best FROM c GROUP BY user_id)
+    SELECT t.user_id AS row_idx, coalesce(string_agg(event_type, '|' ORDER BY fs) FILTER (WHERE c * 1.0::DOUBLE / n >= 0.2 AND NOT (none_n > coalesce(best, 0) AND none_n * 1.0::DOUBLE / n >= 0.2)), '') AS result
+    FROM t LEFT JOIN c USING (user_id) LEFT JOIN m USING (user_id) GROUP BY t.user_id"""
+)
+def threshold_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _user(spark, sf_dir).withColumn("result", votes.threshold_or_none(0.2, 0.2)).select("row_idx", joined("result").alias("result"))
+
+
+@query(f"WITH {_EVENTS} SELECT t.user_id AS row_idx, event_type AS value, c AS count, round(c * 1.0::DOUBLE / n, 9) AS fraction, none_n FROM t JOIN c USING (user_id)")
+def support_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _user(spark, sf_dir).select("row_idx", "n", "none_n", F.explode("candidates").alias("c"))
+    return flat.select("row_idx", F.col("c.value").alias("value"), F.col("c.count").alias("count"), F.round(F.col("c.count") / F.col("n"), 9).alias("fraction"), "none_n")
+
+
+_PARTS = """e AS (SELECT p_partkey AS i, p_type AS r, lower(regexp_replace(p_brand, '#', ' ')) AS ck, p_brand AS canon, 0 AS ai, p_brand AS a FROM part
+        UNION ALL SELECT p_partkey, p_type, lower(regexp_replace(p_brand, '#', ' ')), p_brand, 1, p_name || ' ' || p_size FROM part),
+    k AS (SELECT *, trim(lower(regexp_replace(a, '#', ' '))) AS ak FROM e)"""
+
+
+@query(f"WITH {_PARTS} SELECT r AS Relation, ak AS alias_key, arg_min(canon, struct_pack(i := i, ai := ai)) AS canonical FROM k GROUP BY r, ak HAVING count(DISTINCT ck) = 1")
+def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aliases.alias_map(adapters.part_aliases(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PARTS}, t AS (SELECT DISTINCT i, r, ak FROM k WHERE ai = 1)
+    SELECT t.i AS row_idx, t.ak AS alias_key, arg_min(k.canon, struct_pack(i := k.i, ai := k.ai)) AS canonical
+    FROM t JOIN k ON k.r = t.r AND k.ak = t.ak AND k.i <> t.i GROUP BY t.i, t.ak HAVING count(DISTINCT k.ck) = 1"""
+)
+def alias_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = adapters.part_aliases(spark, sf_dir)
+    targets = gold.select("row_idx", "SubjectEntity", "Relation", text.key(F.get(F.get("ObjectEntities", F.lit(0)), F.lit(1))).alias("alias_key"))
+    return aliases.left_out_lookup(targets, gold)
+
+
+def _named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("pass_idx"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"), F.col("p_type").alias("Relation"), name.alias("value")
+    )
+
+
+_CANON = f"""WITH {_PARTS}, m AS (SELECT r, ak, arg_min(canon, struct_pack(i := i, ai := ai)) AS canon FROM k GROUP BY r, ak HAVING count(DISTINCT ck) = 1),
+    x AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_partkey * 1000 + l_suppkey AS pos, p_type AS r, p_name || ' ' || p_size AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
+    y AS (SELECT o, ln, pos, v, coalesce(canon, v) AS t, trim(lower(regexp_replace(coalesce(canon, v), '#', ' '))) AS nk FROM x LEFT JOIN m ON m.r = x.r AND m.ak = lower(v)),
+    z AS (SELECT o, ln, nk, min(struct_pack(pos := pos, v := v, t := t)) AS f FROM y GROUP BY o, ln, nk)"""
+
+
+@query(f"{_CANON} SELECT o AS row_idx, ln AS pass_idx, f.pos AS pos, f.t AS value FROM z")
+def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookup = aliases.alias_map(adapters.part_aliases(spark, sf_dir))
+    return aliases.canonicalize(_named_lines(spark, sf_dir), lookup, ["Relation"])[0]
+
+
+@query(f"{_CANON} SELECT f.v AS \"from\", f.t AS \"to\", count(*) AS times FROM z WHERE f.v <> f.t GROUP BY ALL")
+def alias_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookup = aliases.alias_map(adapters.part_aliases(spark, sf_dir))
+    return aliases.canonicalize(_named_lines(spark, sf_dir), lookup, ["Relation"])[1].groupBy("from", "to").agg(F.count("*").alias("times"))
+
+
+_NORM = r"trim(regexp_replace(regexp_replace(replace(lower(strip_accents(replace({0}, 'ß', 'ss'))), 'ß', 'ss'), '[''`´‘’]', '', 'g'), '[\s\x1c-\x1f!-/:-@\[-`{{-~]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_NORM.format('text')}) AS digest FROM documents")
+def normalize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.key("text").alias("k"))
+    return docs.select("doc_id", F.md5(F.col("k").cast("binary")).alias("digest"))
+
+
+@query(f"WITH k AS (SELECT doc_id, {_NORM.format('text')} AS k FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS copies FROM k WHERE k <> '' GROUP BY k")
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.key("text").alias("k")).where("k <> ''")
+    return docs.groupBy(F.xxhash64("k").alias("h"), F.md5(F.col("k").cast("binary")).alias("d")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+
+
+@query("SELECT p_partkey, regexp_extract(p_brand, '[0-9]+') AS brand_number, CAST(p_retailprice AS DOUBLE) AS price FROM part")
+def numeric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    spaced = F.replace("p_brand", F.lit("#"), F.lit(" "))
+    return part.select("p_partkey", text.leading_number(spaced).alias("brand_number"), text.number(F.col("p_retailprice").cast("string")).alias("price"))
