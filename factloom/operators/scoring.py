@@ -65,18 +65,23 @@ def _matching_udf(edges: pd.Series) -> pd.Series:
     return edges.map(lambda gold: _augment([list(g) for g in gold]), na_action="ignore").astype("Int32")
 
 
-def matched_strings(pred_keys: Column, gold_keys: Column) -> Column:
-    """Maximum number of predictions matched with different gold objects.
+def matched_hits(hits: Column) -> Column:
+    """Size of a maximum matching, given the predictions that each gold object may take.
 
     If no prediction fits two objects, or no object two predictions, counting suffices; only the rest
     goes through the matching function.
     """
-    hits = F.transform(gold_keys, lambda g: F.array_intersect(g, pred_keys))
     flat = F.flatten(hits)
     single_gold = F.size(flat) == F.size(F.array_distinct(flat))
     single_pred = F.forall(hits, lambda h: F.size(h) <= 1)
     counted = F.when(single_gold, F.size(F.filter(hits, lambda h: F.size(h) > 0))).when(single_pred, F.size(F.array_distinct(flat)))
-    return F.coalesce(counted, _matching_udf(F.when(~single_gold & ~single_pred, hits)))
+    rest = F.transform(hits, lambda h: h.cast("array<string>"))
+    return F.coalesce(counted, _matching_udf(F.when(~single_gold & ~single_pred, rest)))
+
+
+def matched_strings(pred_keys: Column, gold_keys: Column) -> Column:
+    """Maximum number of predictions matched with different gold objects."""
+    return matched_hits(F.transform(gold_keys, lambda g: F.array_intersect(g, pred_keys)))
 
 
 def matched_numbers(pred_numbers: Column, gold_numbers: Column, tolerance: float = TOLERANCE) -> Column:
@@ -131,10 +136,14 @@ def with_scores(ready: DataFrame, numeric: tuple[str, ...] = NUMERIC, tolerance:
     empty = F.array().cast("array<double>")
     tp = F.when(is_number, matched_numbers(F.coalesce("__pn", empty), F.coalesce("__gn", empty), tolerance)).otherwise(matched_strings(F.col("pred_keys"), F.col("__gold_keys")))
     sized = counted.select(*KEY, *keep, tp.alias("tp"), F.size("surfaces").alias("total_pred"), F.size("golds").alias("total_gt"))
+    return rated(sized).select(*KEY, *keep, "p", "r", "f1", "tp", "total_pred", "total_gt")
+
+
+def rated(sized: DataFrame) -> DataFrame:
+    """Add ``p, r, f1`` to ``tp, total_pred, total_gt``; nothing to divide by counts as 1."""
     p = F.when(F.col("total_pred") > 0, F.col("tp") / F.nullif(F.col("total_pred"), F.lit(0))).otherwise(F.lit(1.0))
     r = F.when(F.col("total_gt") > 0, F.col("tp") / F.nullif(F.col("total_gt"), F.lit(0))).otherwise(F.lit(1.0))
-    rated = sized.withColumn("p", p).withColumn("r", r)
-    return rated.select(*KEY, *keep, "p", "r", f1(F.col("p"), F.col("r")).alias("f1"), "tp", "total_pred", "total_gt")
+    return sized.withColumn("p", p).withColumn("r", r).withColumn("f1", f1(F.col("p"), F.col("r")))
 
 
 def _by_relation(scores: DataFrame, *aggregates: Column) -> DataFrame:

@@ -70,3 +70,20 @@ def labelled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     objects = F.when(F.col("toxic") == 1, F.array().cast("array<array<string>>")).otherwise(F.array(F.array(F.col("lang"))))
     return docs.select(F.col("doc_id").alias("row_idx"), F.col("doc_id").cast("string").alias("SubjectEntity"), F.col("source").alias("Relation"), objects.alias("ObjectEntities"))
+
+
+def flag_votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples of orders and their gold: each line number is a sample of return flags, ``N`` for nothing.
+
+    Gold is one flag for finished and pending orders and nothing for open ones.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("pass_idx"), F.col("l_returnflag").alias("value"))
+    flag = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "P", "R")
+    none = F.array().cast("array<array<string>>")
+    gold = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_idx"),
+        F.col("o_orderkey").cast("string").alias("SubjectEntity"),
+        F.lit("companyTradesAtStockExchange").alias("Relation"),
+        F.when(flag.isNull(), none).otherwise(F.array(F.array(flag))).alias("ObjectEntities"),
+    )
+    return lines.select("row_idx", "pass_idx").distinct(), lines.where("value <> 'N'").withColumn("pos", F.ascii("value")), gold

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import aliases, scoring, votes
+from ..functions import jsontext, text
+from ..operators import aliases, calibration, examples, keyed, scoring, sets, votes
 from . import adapters
 from .adapters import table
 
@@ -239,3 +239,192 @@ def numeric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     spaced = F.replace("p_brand", F.lit("#"), F.lit(" "))
     return part.select("p_partkey", text.leading_number(spaced).alias("brand_number"), text.number(F.col("p_retailprice").cast("string")).alias("price"))
+
+
+# --- keyed rows, sets, validation ---
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) - 1 AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("row_idx"))
+    return keyed.duplicate_keys(lines, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sets.missing_keys(table(spark, sf_dir, "orders"), done, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderkey LIMIT 3")
+def first_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.first_rows(coverage_missing(spark, sf_dir), 3, "o_orderkey")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS times FROM (SELECT o_orderstatus, o_orderpriority FROM orders EXCEPT ALL SELECT 'F', o_orderpriority FROM orders WHERE o_orderstatus <> 'O') GROUP BY ALL")
+def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    left = orders.select("o_orderstatus", "o_orderpriority")
+    right = orders.where("o_orderstatus <> 'O'").select(F.lit("F").alias("o_orderstatus"), "o_orderpriority")
+    return sets.bag_difference(left, right).groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("times"))
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 400000 THEN 'HIGH' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def merge_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    overrides = orders.where("o_totalprice > 400000").select("o_orderkey", F.lit("HIGH").alias("o_orderpriority"))
+    return keyed.merge(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), overrides, ["o_orderkey"], "o_orderpriority")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS Relation, '' AS objects FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def select_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    line = F.to_json(F.struct(F.col("o_orderpriority").alias("Relation"), F.array(F.col("o_orderstatus")).alias("ObjectEntities")))
+    rows = orders.select(F.col("o_orderkey").alias("row_idx"), F.col("o_orderpriority").alias("Relation"), line.alias("line"))
+    chosen = keyed.select_relations(rows, ["1-URGENT", "2-HIGH"])
+    objects = F.from_json("line", "Relation string, ObjectEntities array<string>")
+    return chosen.withColumn("o", objects).select(F.col("row_idx").alias("o_orderkey"), F.col("o.Relation").alias("Relation"), joined("o.ObjectEntities").alias("objects"))
+
+
+@query("SELECT row_idx, problem FROM (SELECT event_id AS row_idx, CASE WHEN event_type = 'error' THEN 'unsupported relation error' END AS problem FROM events) WHERE problem IS NOT NULL")
+def input_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_idx"), F.col("event_id").cast("string").alias("SubjectEntity"), F.col("event_type").alias("Relation"))
+    known = tuple(r[0] for r in events.select("Relation").distinct().collect() if r[0] != "error")  # a handful of types
+    return keyed.input_violations(events, known)
+
+
+@query("SELECT o_orderkey AS row_idx FROM orders WHERE o_orderstatus <> 'F'")
+def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_orderstatus")
+    return sets.remaining(orders.select("row_idx"), orders.where("o_orderstatus = 'F'"))
+
+
+@query("SELECT count(*) AS n, max(o_orderkey) AS highest, count(*) = count(DISTINCT o_orderkey) AND coalesce(max(o_orderkey) + 1, 0) = count(*) AS is_prefix FROM orders")
+def prefix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.prefix_gap(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def semi_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return sets.keep_accepted(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), accepted, ["o_custkey"]).drop("o_custkey")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS answer FROM events")
+def json_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("The answer is ["), F.get_json_object("props", "$.k"), F.lit('] I think, not {"x": [}'))
+    answers = jsontext.parse_answers(said, F.lit("hasCapacity"))
+    return table(spark, sf_dir, "events").select("event_id", F.get(answers, F.lit(0)).alias("answer"))
+
+
+# --- examples and prompts ---
+
+
+@query(
+    """WITH e AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS size FROM documents JOIN labels USING (doc_id))
+    SELECT doc_id, source, CAST(((rank - 5) % size + size) % size AS BIGINT) AS place FROM e"""
+)
+def rotate_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.labelled_examples(spark, sf_dir)
+    ring = Window.partitionBy("Relation")
+    ranked = rows.withColumn("rank", F.row_number().over(ring.orderBy("row_idx")) - 1).withColumn("size", F.count("*").over(ring))
+    place = examples.rotated_rank(F.col("rank"), F.col("size"), F.lit(5)).cast("long")
+    return ranked.select(F.col("row_idx").alias("doc_id"), F.col("Relation").alias("source"), place.alias("place"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, source, toxic = 1 AS empty FROM documents JOIN labels USING (doc_id)),
+    t AS (SELECT doc_id AS target, source, doc_id % 7 AS shift FROM documents),
+    m AS (SELECT target, shift, c.doc_id, c.empty, row_number() OVER (PARTITION BY target, c.empty ORDER BY c.doc_id) - 1 AS rank, count(*) OVER (PARTITION BY target, c.empty) AS size,
+              count(*) OVER (PARTITION BY target) AS n FROM t JOIN c ON c.source = t.source AND c.doc_id <> t.target),
+    r AS (SELECT *, ((rank - shift) % size + size) % size AS k FROM m),
+    q AS (SELECT *, CAST(count(*) FILTER (WHERE empty) OVER (PARTITION BY target) AS INTEGER) AS e, CAST(count(*) FILTER (WHERE NOT empty) OVER (PARTITION BY target) AS INTEGER) AS f FROM r),
+    a AS (SELECT *, least(CAST(round_even(5.0::DOUBLE * e / n, 0) AS INTEGER), e) AS e1 FROM q),
+    b AS (SELECT *, least(5 - e1, f) AS tf FROM a),
+    d AS (SELECT *, least(5 - tf, e) AS te FROM b),
+    s AS (SELECT *, te + tf AS total FROM d WHERE (empty AND k < te) OR (NOT empty AND k < tf)),
+    p AS (SELECT *, list_transform(range(te), lambda i: CAST(greatest(0, floor((total * (2 * i + 1) - te + 2 * te - 1) / (2.0 * te))) AS BIGINT)) AS places FROM s)
+    SELECT target, CASE WHEN empty THEN places[k + 1] ELSE list_filter(range(total), lambda x: NOT list_contains(places, x))[k + 1] END AS place, doc_id AS example FROM p"""
+)
+def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    targets = docs.select(
+        F.col("doc_id").alias("target"), F.col("doc_id").cast("string").alias("SubjectEntity"), F.col("source").alias("Relation"), (F.col("doc_id") % 7).alias("offset"), F.lit(5).alias("limit")
+    )
+    chosen = examples.select_examples(targets, adapters.labelled_examples(spark, sf_dir))
+    return chosen.select("target", F.col("place").cast("long").alias("place"), F.col("row_idx").alias("example"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("m"))
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    return listed.select("conv_id", joined(F.transform("ms", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("prompt"))
+
+
+# --- calibration ---
+
+_GRID = """l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS pass, l_returnflag AS v FROM lineitem),
+    h AS (SELECT k, pass, max(CASE WHEN v <> 'N' THEN 1 ELSE 0 END) AS filled FROM l GROUP BY k, pass),
+    t AS (SELECT k, count(*) AS n, count(*) - sum(filled) AS none_n FROM h GROUP BY k),
+    c AS (SELECT k, v, count(*) AS c FROM l WHERE v <> 'N' GROUP BY k, v),
+    m AS (SELECT k, max(c) AS best FROM c GROUP BY k),
+    tc AS (SELECT DISTINCT c * 1.0::DOUBLE / n AS tc FROM c JOIN t USING (k) UNION SELECT 0.0::DOUBLE UNION SELECT 1.0::DOUBLE),
+    tn AS (SELECT DISTINCT none_n * 1.0::DOUBLE / n AS tn FROM t UNION SELECT 0.0::DOUBLE UNION SELECT 1.0::DOUBLE),
+    g AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'P' THEN 'R' END AS gold FROM orders),
+    r AS (SELECT t.k, n, none_n, coalesce(best, 0) AS best, gold, CASE WHEN gold IS NULL THEN 0 ELSE 1 END AS total_gt FROM t JOIN g USING (k) LEFT JOIN m USING (k)),
+    x AS (SELECT tc, tn, r.k, total_gt, CASE WHEN c.c * 1.0::DOUBLE / r.n >= tc AND NOT (none_n > best AND none_n * 1.0::DOUBLE / r.n >= tn) THEN 1 ELSE 0 END AS keep, CASE WHEN c.v = gold THEN 1 ELSE 0 END AS hit
+          FROM r LEFT JOIN c USING (k), tc, tn),
+    y AS (SELECT tc, tn, k, total_gt, sum(keep) AS total_pred, sum(keep * hit) AS tp FROM x GROUP BY tc, tn, k, total_gt),
+    z AS (SELECT *, CASE WHEN total_pred > 0 THEN tp * 1.0::DOUBLE / total_pred ELSE 1 END AS p, CASE WHEN total_gt > 0 THEN tp * 1.0::DOUBLE / total_gt ELSE 1 END AS r FROM y),
+    scores AS (SELECT tc, tn, avg(p) AS macro_p, avg(r) AS macro_r, avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END) AS macro_f1, sum(total_pred) AS predicted,
+        sum(CASE WHEN total_pred = 0 THEN 1 ELSE 0 END) AS empty FROM z GROUP BY tc, tn)"""
+
+
+def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, passes, gold = adapters.flag_votes(spark, sf_dir)
+    tallied = votes.tally(headers, passes).join(gold.select("row_idx", "SubjectEntity", "Relation"), "row_idx").withColumn("empty_n", F.col("none_n"))
+    grid = calibration.observed_grid(tallied, ("companyTradesAtStockExchange",))
+    return calibration.grid_scores(tallied, gold, grid, {"companyTradesAtStockExchange": "threshold_none"})
+
+
+@query(f"WITH {_GRID} SELECT round(tc, 9) AS tc, round(tn, 9) AS tn, round(macro_p, 9) AS macro_p, round(macro_r, 9) AS macro_r, round(macro_f1, 9) AS macro_f1, CAST(predicted AS BIGINT) AS predicted, CAST(empty AS BIGINT) AS empty FROM scores")
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _calibration(spark, sf_dir)
+    return s.select(*[F.round(c, 9).alias(c) for c in ("tc", "tn", "macro_p", "macro_r", "macro_f1")], "predicted", "empty")
+
+
+@query(
+    f"""WITH {_GRID}, k AS (SELECT *, row_number() OVER (ORDER BY round(macro_f1, 12) DESC, round(macro_p, 12) DESC, predicted, tc DESC, tn DESC) AS rn FROM scores)
+    SELECT round(tc, 9) AS tc, round(tn, 9) AS tn, round(macro_f1, 9) AS macro_f1, CAST(predicted AS BIGINT) AS predicted FROM k WHERE rn = 1"""
+)
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = calibration.best_points(_calibration(spark, sf_dir))
+    return best.select(*[F.round(c, 9).alias(c) for c in ("tc", "tn", "macro_f1")], "predicted")
+
+
+@query(
+    f"""WITH {_PAIRS}, w AS (SELECT o_custkey AS k, o_orderstatus AS pass, o_orderpriority AS v FROM orders GROUP BY ALL),
+    gp AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS v FROM orders), gn AS (SELECT k, count(*) AS g FROM gp GROUP BY k),
+    h AS (SELECT k, pass, count(*) AS c FROM w GROUP BY k, pass)
+    SELECT '*** All Relations ***' AS Relation, round(avg(ok), 9) AS ceiling FROM (SELECT k, max(CASE WHEN c = g THEN 1 ELSE 0 END) AS ok FROM h JOIN gn USING (k) GROUP BY k)
+    UNION ALL SELECT 'priority', round(avg(ok), 9) FROM (SELECT k, max(CASE WHEN c = g THEN 1 ELSE 0 END) AS ok FROM h JOIN gn USING (k) GROUP BY k)"""
+)
+def oracle_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = adapters.order_facts(spark, sf_dir)[0].where("Relation = 'priority'")
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.collect_set("o_orderpriority").alias("preds"))
+    ready = gold.join(orders, gold.row_idx == orders.o_custkey).withColumnRenamed("ObjectEntities", "golds")
+    scored = scoring.with_scores(scoring.unique_predictions(ready, "preds").select("SubjectEntity", "Relation", "o_orderstatus", "golds", "surfaces", "pred_keys"), keep=("o_orderstatus",))
+    return scoring.oracle_ceiling(scored).select("Relation", F.round("ceiling", 9).alias("ceiling"))
+
+
+@query()
+def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scores(spark, sf_dir)
+    flipped = s.withColumn("f1", F.greatest(F.col("f1") - F.lit(0.1), F.lit(0.0)))
+    return scoring.paired_bootstrap(s, flipped, 200)
