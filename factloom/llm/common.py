@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .textcore import release
 
 #: Rows up to which a checked side of a join is broadcast (two longs a row: a few MB).
 BROADCAST_ROWS = 200_000
@@ -43,6 +46,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose worker gives its memory back at the end of a task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if counting up to ``limit`` proves it small; leave it as it is beyond."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -91,4 +106,4 @@ def filtered(docs: DataFrame, text: str, judge: Callable[[pa.Array], np.ndarray]
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 SIGMA = 1.0
 RADIUS = 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,4 +181,4 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     slim = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = slim.schema["page_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"page_id {kind}, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    return mapped(slim, run, f"page_id {kind}, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

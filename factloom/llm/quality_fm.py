@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import labelled, residue
+from .common import labelled, mapped, residue
 
 BUCKETS = 1 << 16
 FACTORS = 8
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
                 )
 
     rows = labelled(_known_length(docs), labels, label, bound, ("__n_chars",))
-    got = rows.mapInArrow(run, "rank long, y int, bucket array<int>, value array<float>, dense array<double>").toArrow().combine_chunks()
+    got = mapped(rows, run, "rank long, y int, bucket array<int>, value array<float>, dense array<double>").toArrow().combine_chunks()
     if not got.num_rows:
         return None
     got = got.sort_by("rank").combine_chunks()
@@ -219,5 +219,5 @@ def quality(docs: DataFrame, machine: Machine | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(score)], ["doc_id", "score"])
 
     slim = _known_length(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__n_chars")
-    scored = slim.mapInArrow(run, "doc_id long, score double")
+    scored = mapped(slim, run, "doc_id long, score double")
     return scored.select("doc_id", (residue("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

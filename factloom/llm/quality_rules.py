@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import filtered
+from .common import filtered, mapped
 
 MIN_WORDS = 50
 BASE_WINDOW = 3
@@ -99,7 +99,7 @@ def repetition_measures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *(pa.array(found[k]) for k in FIELDS)], ["doc_id", *FIELDS])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in FIELDS))
+    return mapped(slim, run, "doc_id long, " + ", ".join(f"{k} long" for k in FIELDS))
 
 
 def verdicts(m: dict) -> tuple:

@@ -9,6 +9,7 @@ the segment size and the number of words, not eight times the length of the long
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,3 +201,11 @@ def per_text(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.n
 def text_slice(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of texts ``i`` to ``j``."""
     return data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system; a worker that waits then holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 BATCH_BYTES = 1 << 20
 SLICE_CHARS = 1 << 18
 MEMO_PIECES = 400_000
@@ -102,5 +104,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    counted = slim.mapInArrow(encode, "doc_id long, n_bytes long, n_tokens long")
+    counted = mapped(slim, encode, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import filtered, labelled, residue
+from .common import filtered, labelled, mapped, residue
 
 BUCKETS = 1 << 19
 PREFIX_BYTES = (3, 5, 7)
@@ -173,7 +173,7 @@ def _cross_fitted(counts: np.ndarray, fold: np.ndarray, levels: list[np.ndarray]
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = LABELLED_ROWS) -> Model:
     """Learn the counts, the extreme-value scale and the calibration."""
     rows = labelled(docs, labels, label, bound)
-    cells = rows.mapInArrow(_count, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    cells = mapped(rows, _count, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     counts = np.zeros((2, 2, LEVELS, BUCKETS), np.float32)
     counts.reshape(-1)[cells.column("cell").to_numpy()] = cells.column("times").to_numpy()
     counts = np.ascontiguousarray(counts.transpose(0, 2, 1, 3))  # fold, level, class, bucket
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = L
                     ["y", "n", "scores"],
                 )
 
-    seen = rows.mapInArrow(cross, "y long, n long, scores array<double>").toArrow().to_pydict()
+    seen = mapped(rows, cross, "y long, n long, scores array<double>").toArrow().to_pydict()
     bins, x, y = np.zeros(len(STEP_BINS)), [], []
     for kind, scores in zip(seen["y"], seen["scores"], strict=True):
         if kind < 0:
@@ -248,7 +248,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(scores), pa.array(spans, passages)], ["doc_id", "score", "passages"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    scored = slim.mapInArrow(run, "doc_id long, score double, passages array<struct<start: bigint, end: bigint, score: double>>")
+    scored = mapped(slim, run, "doc_id long, score double, passages array<struct<start: bigint, end: bigint, score: double>>")
     return scored.select(
         "doc_id", (residue("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages"
     )
