@@ -1,24 +1,25 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.  Unigrams and bigrams of all
-documents are counted in tables partitioned by hash.  A word after a context scores
-``c(context word) / c(context)`` if that bigram occurs at least ``MIN_COUNT`` times, else ``ALPHA`` times
-its backoff ``c(word) / N``; the first word scores ``c(word) / N``.
-
-The logarithm telescopes: every word adds its backoff, every word with a context adds ``log ALPHA``, and
-a counted bigram adds the gain ``log c(uv) - log c(u) - log ALPHA - log c(v) + log N``.  So gains are
-attached to the pruned bigram table alone, and a document's score is a sum over two joins of its
-exploded n-grams.  Counts are pre-aggregated for each Arrow batch before they are shuffled, a text's
-equal n-grams are one row, and sums are combined before they meet at their document.
-
-A null or empty text has 0 words, score 0 and no mean.  Rows that share an id, null ids included, are
-one document for the sums; its texts stay apart.  Extra columns are not read.
+Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.  N-grams of all documents up to
+``ORDER`` are counted in tables partitioned by hash.  A word scores ``c(n-gram) / c(its context)`` for the
+longest n-gram ending in it that occurs at least ``MIN_COUNT`` times; each backoff step costs a factor
+``ALPHA``; the last step is ``c(word) / N``.
+
+Documents are dealt to batches of about ``BATCH_BYTES`` by a hash.  A batch's distinct n-grams are
+exploded once, with their counts in the batch, and go to hash partitions, packed: one row for a batch
+and a partition holds the sorted hashes as differences and the counts.  A partition adds up its table,
+joins it to each row, and answers with the totals in the row's order, so no hash travels back.  The
+batch then sums the logarithms for each document.  A very common n-gram has one entry a batch, not one
+a document; a task holds a batch of texts, or a partition of about ``PARTITION_ENTRIES`` entries.  Rows
+number batches times partitions: on larger executors both sizes can grow with the memory.
+
+A null or empty text has 0 words, score 0 and no mean.  Null ids and repeated rows are scored like any
+other: one row out for each row in.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,101 +27,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import stored
 
+ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
-
-
-def _pieces(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First text, number of texts, word hashes and text numbers of each piece of a batch."""
-    data, offsets = tc.utf8(column)
-    for i, j in tc.pieces(offsets, limit):
+BATCH_BYTES = 16 << 20
+PARTITION_ENTRIES = 2_000_000
+#: Bytes of text for each n-gram length and entry, for choosing the number of partitions.
+BYTES_AN_ENTRY = 8
+#: The partition that adds up the numbers of words.
+WORDS = -1
+
+
+def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, int]:
+    """Hashes of all windows by length, which of them lie in one text, and the text number of each word."""
+    data, offsets = tc.utf8(texts)
+    hashes, docs = [], []
+    for i, j in tc.pieces(offsets):
         part, bounds = tc.text_slice(data, offsets, i, j)
         first, last, doc = tc.words(part, bounds)
-        yield i, j - i, tc.span_hashes(part, first, last, tc.LOWER), doc
-
-
-def _pairs(hashes: np.ndarray, doc: np.ndarray, by_text: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position of one occurrence, text number and count of every distinct bigram (of a text)."""
-    at = np.flatnonzero(tc.windows(doc, 2))
-    key = tc.grams(hashes, 2)[at]
-    if by_text:
-        key = tc.within(key, doc[at])
-    _, where, times = np.unique(key, return_index=True, return_counts=True)
-    return at[where], doc[at[where]], times
-
-
-def unigram_counts(docs: DataFrame) -> DataFrame:
-    """``h, c`` of every word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, hashes, _ in _pieces(batch.column(0), 32 << 20):
-                h, c = np.unique(hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
-
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def bigram_counts(docs: DataFrame, least: int) -> DataFrame:
-    """``u, v, c`` of every bigram that occurs at least ``least`` times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, hashes, doc in _pieces(batch.column(0), 32 << 20):
-                at, _, times = _pairs(hashes, doc, by_text=False)
-                h = hashes.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(h[at + 1]), pa.array(times, pa.int64())], ["u", "v", "c"])
-
-    return docs.select("text").mapInArrow(run, "u long, v long, c long").groupBy("u", "v").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-
-
-def _exploded_words(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, n, hashes, doc in _pieces(batch.column(1), 4 << 20):
-                _, where, times = np.unique(tc.within(hashes, doc), return_index=True, return_counts=True)
-                ids = batch.column(0)[i : i + n].take(pa.array(doc[where]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64)[where]), pa.array(times, pa.int32())], ["doc_id", "h", "m"])
-
-    return docs.mapInArrow(run, "doc_id long, h long, m int")
-
-
-def _exploded_bigrams(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, n, hashes, doc in _pieces(batch.column(1), 4 << 20):
-                at, text, times = _pairs(hashes, doc, by_text=True)
-                ids, h = batch.column(0)[i : i + n].take(pa.array(text)), hashes.view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h[at]), pa.array(h[at + 1]), pa.array(times, pa.int32())], ["doc_id", "u", "v", "m"])
-
-    return docs.mapInArrow(run, "doc_id long, u long, v long, m int")
-
-
-def _lengths(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [tc.per_text(doc, n) for _, n, _, doc in _pieces(batch.column(1), 4 << 20)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]))], ["doc_id", "n"])
-
-    return docs.mapInArrow(run, "doc_id long, n long")
-
-
-def scores(docs: DataFrame, alpha: float = ALPHA, least: int = MIN_COUNT) -> DataFrame:
+        hashes.append(tc.span_hashes(part, first, last, tc.LOWER))
+        docs.append(doc + i)
+    words, doc = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*docs, np.zeros(0, np.int64)])
+    return [tc.grams(words, n) for n in range(1, order + 1)], [tc.windows(doc, n) for n in range(1, order + 1)], doc, len(offsets) - 1
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, lowest first; high planes that are zero are left out."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = 8 if not len(values) else max(1, (int(values.max()).bit_length() + 7) // 8)
+    return np.ascontiguousarray(planes[:used]).tobytes()
+
+
+def _unpack(packed: bytes, count: int) -> np.ndarray:
+    """The integers that ``_pack`` was given."""
+    planes = np.zeros((8, count), np.uint8)
+    if count:
+        own = np.frombuffer(packed, np.uint8).reshape(-1, count)
+        planes[: len(own)] = own
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def _edges(distinct: np.ndarray, partitions: int) -> np.ndarray:
+    """Where each hash partition begins and ends among sorted hashes."""
+    starts = np.array([((1 << 64) * k) // partitions for k in range(1, partitions)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(distinct, starts), [len(distinct)]])
+
+
+def _distinct(grams: list[np.ndarray], inside: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of all lengths, and their counts."""
+    found = np.concatenate([g[i] for g, i in zip(grams, inside, strict=True)])
+    found.sort()
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    return found[first], np.diff(np.append(first, len(found)))
+
+
+def _counter(order: int, partitions: int):
+    """Distinct n-grams of a batch with their counts, a row for each hash partition."""
+
+    def run(group: pa.Table) -> pa.Table:
+        grams, inside, doc, _ = _grams(group.column("text"), order)
+        distinct, counts = _distinct(grams, inside)
+        edges = _edges(distinct, partitions)
+        rows = [(WORDS, 1, _pack(np.zeros(1, np.uint64)), _pack(np.array([len(doc)], np.uint64)))]
+        for k in range(partitions):
+            own = distinct[edges[k] : edges[k + 1]]
+            if len(own):
+                steps = np.diff(own, prepend=np.uint64(((1 << 64) * k) // partitions))
+                rows.append((k, len(own), _pack(steps), _pack(counts[edges[k] : edges[k + 1]].astype(np.uint64))))
+        part, size, hashes, times = zip(*rows, strict=True)
+        batch = np.full(len(rows), group.column("batch")[0].as_py(), np.int32)
+        return pa.table({"batch": batch, "part": pa.array(part, pa.int32()), "size": pa.array(size, pa.int32()), "hashes": pa.array(hashes, pa.binary()), "times": pa.array(times, pa.binary())})
+
+    return run
+
+
+def _adder(group: pa.Table) -> pa.Table:
+    """Totals of a hash partition, for each of its rows in the row's order."""
+    sizes = group.column("size").to_numpy().astype(np.int64)
+    hashes = [np.cumsum(_unpack(x.as_py(), n)) for x, n in zip(group.column("hashes"), sizes, strict=True)]
+    times = np.concatenate([_unpack(x.as_py(), n) for x, n in zip(group.column("times"), sizes, strict=True)])
+    _, where = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.bincount(where, times.astype(float))[where].astype(np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    packed = [_pack(totals[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return pa.table({"batch": group.column("batch"), "part": group.column("part"), "size": group.column("size"), "totals": pa.array(packed, pa.binary())})
+
+
+def _scorer(order: int, alpha: float, least: int):
+    """Scores of a batch's documents from the totals that returned to it."""
+
+    def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, inside, doc, size = _grams(texts.column("text"), order)
+        distinct, _ = _distinct(grams, inside)
+        parts = np.argsort(answers.column("part").to_numpy())
+        sizes = answers.column("size").to_numpy()
+        totals = [_unpack(answers.column("totals")[int(k)].as_py(), int(sizes[k])).astype(float) for k in parts]
+        words, totals = totals[0][0], np.concatenate([*totals[1:], np.zeros(0)])  # partition WORDS comes first
+        context = np.full(len(doc) + 1, math.log(max(words, 1)))
+        score = np.zeros(len(doc))
+        for k in range(order):
+            logs = np.full(len(doc) + 1, np.nan)
+            at = inside[k].nonzero()[0]
+            counts = totals[np.searchsorted(distinct, grams[k][at])]
+            logs[at] = np.log(np.where(counts >= (least if k else 1), counts, np.nan))
+            ends = np.arange(k, len(doc))  # words that end a window of this length
+            gain = logs[ends - k] - context[ends - k]
+            fits = inside[k][ends - k]
+            seen = fits & ~np.isnan(gain)
+            if k == 0:
+                score[ends] = gain
+            else:
+                score[ends] = np.where(seen, gain, np.where(fits, score[ends] + math.log(alpha), score[ends]))
+            context = logs
+        del grams, inside, distinct, totals, context, logs, counts
+        tc.release()
+        tokens = np.bincount(doc, minlength=size)
+        total = np.bincount(doc, score, size)
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": tokens.astype(np.int64), "total": total.astype(float)})
+
+    return run
+
+
+def scores(
+    docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = MIN_COUNT, batch_bytes: int = BATCH_BYTES, partition_entries: int = PARTITION_ENTRIES
+) -> DataFrame:
     """``doc_id, n_tokens, log_score, mean_log_score`` of every document."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    words = stored(unigram_counts(slim))
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(1))).first()[0]
-    known = words.select("h", F.log("c").alias("lc"))
-    left, right = known.toDF("u", "lu"), known.toDF("v", "lv")
-    gain = F.log("c") - F.col("lu") - F.col("lv") + F.lit(math.log(total) - math.log(alpha))
-    gains = stored(bigram_counts(slim, least).join(left, "u").join(right, "v").select("u", "v", gain.alias("gain")))
-    none = F.lit(0).cast("long").alias("n")
-    base = _exploded_words(slim).join(known, "h").select("doc_id", none, (F.col("m") * (F.col("lc") - F.lit(math.log(total)))).alias("x"))
-    more = _exploded_bigrams(slim).join(gains, ["u", "v"]).select("doc_id", none, (F.col("m") * F.col("gain")).alias("x"))
-    context = F.greatest(F.col("n") - 1, F.lit(0)) * F.lit(math.log(alpha))
-    own = _lengths(slim).select("doc_id", "n", context.alias("x"))
-    summed = own.unionByName(base).unionByName(more).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("x").alias("x"))
-    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("x") / F.col("n_tokens"), 6))
-    return summed.select("doc_id", "n_tokens", F.round("x", 4).alias("log_score"), mean.alias("mean_log_score"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # as many batches as tasks at least, so that small inputs use all cores
+    batches = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / batch_bytes))
+    partitions = max(1, math.ceil(size * order / BYTES_AN_ENTRY / partition_entries))
+    dealt = slim.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")).repartition(min(batches, 20_000), "batch")
+    counted = dealt.groupBy("batch").applyInArrow(_counter(order, partitions), "batch int, part int, size int, hashes binary, times binary")
+    answers = counted.groupBy("part").applyInArrow(_adder, "batch int, part int, size int, totals binary")
+    scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scorer(order, alpha, least), "doc_id long, n_tokens long, total double")
+    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("n_tokens"), 6))
+    return scored.select("doc_id", "n_tokens", F.round("total", 4).alias("log_score"), mean.alias("mean_log_score"))
