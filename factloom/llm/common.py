@@ -16,6 +16,8 @@ from .textcore import release
 
 #: Rows up to which a checked side of a join is broadcast (two longs a row: a few MB).
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch where the session keeps Spark's default; a batch and its copies fit a small worker.
+ARROW_BYTES, _BATCH_SETTING, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Words are runs of characters outside this class.
 WORD = r"[^\x20\x09-\x0D]+"
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,6 +57,9 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         finally:
             release()
 
+    settings = df.sparkSession.conf
+    if settings.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        settings.set(_BATCH_SETTING, ARROW_BYTES)
     return df.mapInArrow(tidy, schema)
 
 

@@ -17,7 +17,6 @@ def components(links: DataFrame) -> DataFrame:
     """
     u, v = links.columns
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct()
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -26,9 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u > v").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = now
+        # done when all are stars: no node has two centres, and no centre has one
+        twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+        if not twice.unionByName(chained).limit(1).count():
+            centres = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)

@@ -12,9 +12,9 @@ to its size.  Components of the links are found by alternating stars.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.  A text with fewer words than a
 shingle is one shingle; texts that are null or have no words have an empty set and are linked with
-nothing.  Rows with a null id are linked with nothing and kept.  Repeated rows fall in one class; rows
-that share an id stand for one document if that id is the smallest of their class.  Extra columns are
-not read.  An empty table gives an empty result.
+nothing.  Rows with a null id are linked with nothing and kept.  Rows that share an id, repeated ones
+included, are one document: they have one component, and what links to one of their texts links to it.
+Extra columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import checked_broadcast, stored
+from .common import checked_broadcast, mapped, stored
 from .components import components
 
 COORDINATES = 64
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 2_000_000
 _DRAW = np.random.default_rng(20).integers(1, 1 << 63, (3, COORDINATES), dtype=np.uint64)
 _FACTOR, _SHIFT, _COORDINATE = _DRAW[0] | np.uint64(1), _DRAW[1], _DRAW[2]
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
+    return mapped(slim, run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -99,7 +99,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                         [batch.column(0)[k : k + 1], pa.array([signature(s)], pa.list_(pa.int64())), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["node", "sig", "shingles"]
                     )
 
-    return docs.mapInArrow(run, "node long, sig array<long>, shingles array<long>")
+    return mapped(docs, run, "node long, sig array<long>, shingles array<long>")
 
 
 def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,6 +176,8 @@ def _block_links(num: int, den: int):
         sets = [np.asarray(x.values.to_numpy()).view(np.uint64) for x in group.column("shingles")]
         sig = np.array([x.values.to_numpy() for x in group.column("sig")])
         found = forest(group.column("node").to_numpy(), sig, sets, num, den)
+        if len(sets) > 256:
+            tc.release()
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -192,7 +194,7 @@ def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
     return enough.select("node", F.explode(F.slice("keys", F.lit(1), spare)).alias("k")).select("node", F.col("k.key").alias("key"))
 
 
-def links_between(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def links_between(docs: DataFrame, classes: DataFrame, sizes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Spanning links of confirmed pairs of classes."""
     entries = stored(postings(classes, num, den))
     lowest = entries.groupBy("key").agg(F.min("node").alias("low"))
@@ -201,10 +203,12 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, num: int, den:
     slim = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"))
     members = slim.join(checked_broadcast(clusters), F.col("__doc") == F.col("node"))
     sets = stored(full_sets(members.select("node", "__text"), size))
-    held = sets.join(clusters, "node")
-    weight = held.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.size("shingles")).alias("shingles"))
-    blocks = weight.select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = held.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    weight = clusters.join(sizes, "node").groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    count = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    # clusters of one block need no entry, so the table has a row for every thousand documents at most
+    blocks = weight.select("cluster", count.alias("__blocks")).where("__blocks > 1")
+    held = sets.join(checked_broadcast(clusters), "node").join(checked_broadcast(blocks), "cluster", "left")
+    placed = held.withColumn("blocks", F.coalesce("__blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.withColumn("o", others).select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "sig", "shingles")
     return paired.groupBy("cluster", "i", "j").applyInArrow(_block_links(num, den), "u long, v long")
@@ -217,12 +221,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 85, den: int = 10
     """
     rows = stored(sketches(docs, size))
     real = rows.where("doc_id is not null and n_shingles > 0")
-    smallest = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    known = real.select("doc_id", "d1", "d2").join(smallest, ["d1", "d2"]).select("doc_id", "node").where("doc_id > node").distinct()
-    classes = real.join(smallest, ["d1", "d2"]).where("doc_id = node").select("node", "sig")
-    links = links_between(docs, classes, size, num, den)
-    found = components(links.unionByName(known.toDF("u", "v"))).where("node <> component").toDF("__node", "component_id")
-    whole = rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("__node"), "left")
+    same = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    # only sets that several rows have need a look-up, so a large group of copies is not dealt by its key
+    found = real.join(checked_broadcast(stored(same.drop("n"))), ["d1", "d2"], "left").withColumn("node", F.coalesce("low", "doc_id"))
+    known = found.where("doc_id > node").select("doc_id", "node").distinct()
+    classes = found.where("doc_id = node").select("node", "sig")
+    sizes = real.select(F.col("doc_id").alias("node"), "n_shingles")
+    links = links_between(docs, classes, sizes, size, num, den)
+    parts = components(links.unionByName(known.toDF("u", "v"))).where("node <> component").toDF("__node", "component_id")
+    whole = rows.select("doc_id", "n_shingles").join(parts, F.col("doc_id") == F.col("__node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     out = whole.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
