@@ -4,9 +4,9 @@ The standard-library parser feeds a block builder: a block is the text between t
 with white space folded.  Each block is a line with a text-to-tag ratio; the ratios are smoothed with a
 Gaussian along the page and clustered by a threshold, which selects the content regions.  Blocks inside
 structural boilerplate (navigation, page headers, footers, sidebars, forms, adverts, notices, reader
-comments, hidden elements) never count as text.  A page that marks its article is bounded by that
-container and kept whole; otherwise the region spans from the first to the last selected line of the
-containers that hold selected lines, with the headings that lead into it.
+comments, hidden elements) never count as text.  A marked article that holds a selected line is a region
+and is kept whole; on pages that mark none, the region spans from the first to the last selected line of
+the containers that hold selected lines, with the headings that lead into it.
 
 Null, empty or unparsable html gives an empty text.  Null ids, repeated rows and extra columns pass
 unharmed: one row out for each row in.
@@ -60,13 +60,13 @@ def is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, skipped, in article, heading, container) for every block."""
+    """Collects (text, tags, skipped, number of the outermost article or 0, heading, container) for every block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, int, bool, bool, bool, int]] = []
+        self.found: list[tuple[str, int, bool, int, bool, int]] = []
         self.open: list[tuple[str, bool]] = []  # container tags and whether they start a skipped part
-        self.skips = self.articles = 0
+        self.skips = self.articles = self.article = 0
         self.held: list[str] = []
         self.tags = 0
         self.heading = False
@@ -78,7 +78,7 @@ class Blocks(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.held)).strip()
             self.held.clear()
             if text:
-                self.found.append((text, self.tags, self.skips > 0, self.articles > 0, self.heading, self.inner[-1]))
+                self.found.append((text, self.tags, self.skips > 0, self.article if self.articles else 0, self.heading, self.inner[-1]))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -99,7 +99,9 @@ class Blocks(HTMLParser):
             if skip:
                 self.end_block()
                 self.skips += 1
-            self.articles += tag in ("article", "main")
+            if tag in ("article", "main"):
+                self.article += not self.articles
+                self.articles += 1
             self.open.append((tag, skip))
             self.container += 1
             self.inner.append(self.container)
@@ -154,19 +156,20 @@ def extract(html: str | None) -> str:
     content = [k for k, x in enumerate(lines) if not x[2]]
     if not content:
         return ""
-    marked = [k for k in content if lines[k][3]]
-    if marked:
-        return "\n".join(lines[k][0] for k in marked)
     ratios = np.array([0.0 if x[2] else len(x[0]) / max(x[1], 1) for x in lines])
     smooth = smoothed(ratios)
-    chosen = {k for k in content if smooth[k] >= min(smooth.std(), smooth[content].max())}
-    if not chosen:
-        return ""
+    level = min(smooth.std(), smooth[content].max())
+    chosen = [k for k in content if smooth[k] >= level]
+    marked = [k for k in content if lines[k][3]]
+    if marked:
+        # a marked article is a region of its own: it is taken whole if a selected line lies in it
+        articles = {lines[k][3] for k in chosen} - {0} or {lines[k][3] for k in marked}
+        return "\n".join(lines[k][0] for k in marked if lines[k][3] in articles)
     homes = {lines[k][5] for k in chosen}
-    begin, end = min(chosen), max(chosen)
+    begin, end = chosen[0], chosen[-1]
     while begin and not lines[begin - 1][2] and lines[begin - 1][4]:
         begin -= 1
-    return "\n".join(lines[k][0] for k in content if begin <= k <= end and (k in chosen or lines[k][5] in homes or lines[k][4]))
+    return "\n".join(lines[k][0] for k in content if begin <= k <= end and (lines[k][5] in homes or lines[k][4]))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

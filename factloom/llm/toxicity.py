@@ -32,8 +32,8 @@ from .common import filtered, labelled, mapped, residue
 BUCKETS = 1 << 19
 PREFIX_BYTES = (3, 5, 7)
 PRIOR = 8.0
-DRIFT = 1.0
-CEILING = 5.0
+DRIFT = 0.7
+CEILING = 4.0
 SIGNIFICANT = 0.05
 SIZE = 0.1
 STEP_WIDTH = 0.05
