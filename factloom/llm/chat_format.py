@@ -17,6 +17,7 @@ row by definition.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,13 +82,17 @@ _LISTS = sorted({m.turns for m in MAPPINGS if m.turns})
 KNOWN_PATHS = tuple(sorted({p for m in MAPPINGS for p in m.paths}))
 
 
+def _below(name: str) -> Callable[[Column], Column]:
+    return lambda key: F.concat(F.lit(f"{name}[]."), key)
+
+
 def payload_fingerprint(payload: Column) -> Column:
     """Fingerprint of the known field paths of a JSON object."""
     none = F.array().cast("array<string>")
     found = [F.coalesce(F.json_object_keys(payload), none)]
     for name in _LISTS:
         inner = F.coalesce(F.json_object_keys(F.get_json_object(payload, f"$.{name}[0]")), none)
-        found.append(F.transform(inner, lambda k, name=name: F.concat(F.lit(f"{name}[]."), k)))
+        found.append(F.transform(inner, _below(name)))
     known = F.array(*[F.lit(p) for p in KNOWN_PATHS])
     return F.sha2(F.array_join(F.array_sort(F.array_intersect(F.concat(*found), known)), "\n"), 256)
 

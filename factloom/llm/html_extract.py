@@ -32,7 +32,7 @@ SKIP = frozenset("nav footer aside form script style noscript template button se
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split()
 )
-CONTAINER = frozenset("article main section div body html table tbody thead tfoot td th tr ul ol dl blockquote figure details header hgroup fieldset center".split()) | SKIP
+CONTAINER = frozenset("article main section div body html table tbody thead tfoot tr ul ol dl blockquote figure details header hgroup fieldset center".split()) | SKIP
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class, id or role that name boilerplate.
 MARKS = frozenset(
