@@ -21,6 +21,8 @@ from . import keyed, scoring
 FIELDS = ("SubjectEntity", "Relation", "ObjectEntities", "Rationale", "Model", "ModelParametersBillion")
 MANIFEST_FIELDS = ("artifact_type", "manifest_version", "model", "model_parameters_billion", "train_canonical_sha256", "traces_sha256", "synthetic_cot_sha256", "row_count")
 ARTIFACT, MANIFEST_VERSION, LARGEST_MODEL = "synthetic-cot", 1, 32.0
+#: Steps that a trace may have, for numbering paths by trace and step.
+STEPS = 4096
 _SHA = r"^[0-9a-f]{64}$"
 _STEPS = T.ArrayType(T.StructType([T.StructField("rationale", T.StringType()), T.StructField("answers", T.ArrayType(T.StringType()))]))
 
@@ -84,9 +86,9 @@ def build_paths(gold: DataFrame, trace_rows: DataFrame) -> DataFrame:
     scored = scored_answers(steps, gold, "answers", ("trace_idx", "step", "rationale", "answers")).where(eligible())
     same = scored.withColumn("nks", text.keys("answers"))
     nth = F.row_number().over(Window.partitionBy(*KEY, F.to_json("nks"), "rationale").orderBy("trace_idx", "step"))
-    first = same.withColumn("nth", nth).where("nth = 1").orderBy("trace_idx", "step")
-    rows = first.select(*KEY, F.col("answers").alias("ObjectEntities"), F.col("rationale").alias("Rationale"), F.lit(model).alias("Model"), F.lit(size).alias("ModelParametersBillion"))
-    return records.numbered(rows)
+    first = same.withColumn("nth", nth).where("nth = 1")
+    place = (F.col("trace_idx") * F.lit(STEPS) + F.col("step")).alias("row_idx")
+    return first.select(place, *KEY, F.col("answers").alias("ObjectEntities"), F.col("rationale").alias("Rationale"), F.lit(model).alias("Model"), F.lit(size).alias("ModelParametersBillion"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

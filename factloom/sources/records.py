@@ -25,7 +25,10 @@ class DataError(ValueError):
 
 
 def numbered(df: DataFrame, name: str = "row_idx", start: int = 0) -> DataFrame:
-    """Add contiguous row numbers in reading order, without gathering rows in one task."""
+    """Add contiguous row numbers in reading order, without gathering rows in one task.
+
+    For rows straight from a reader: an order that a sort made need not survive the join.
+    """
     marked = df.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     counts = marked.groupBy(part.alias("__part")).agg(F.count("*").alias("__count"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import digests
@@ -14,6 +14,8 @@ from .records import KEY, DataError, require_none
 
 # Fields that wrap one trace, and fields that wrap a list of them.
 WRAPPED, LISTED = ("raw", "trace"), ("traces", "rows", "results")
+#: Traces that a file may hold, for numbering them by file and place.
+FILE_ROWS = 1 << 20
 SCHEMA = "path string, part int, line string"
 
 
@@ -62,27 +64,20 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """``row_idx, line, SubjectEntity, Relation`` of all traces in path order; a folder is read recursively."""
     digests.refuse_held_back(path, "trace")
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if not path.endswith((".json", ".jsonl")):
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     split = files.mapInPandas(_split, SCHEMA)
     named = split.select(*split.columns, *[F.get_json_object("line", f"$.{k}").alias(k) for k in KEY])
     # file numbers stand for paths in order; a file's traces follow in their own order
-    order = named.select("path").distinct().orderBy("path")
-    ranked = _numbered(order)
-    rows = named.join(ranked, "path").select((F.col("__file") * F.lit(1 << 32) + F.col("part")).alias("row_idx"), "line", *KEY)
+    files_of = named.select("path").distinct().withColumn("__file", F.row_number().over(Window.orderBy("path")) - 1)
+    rows = named.join(files_of, "path").select((F.col("__file").cast("long") * F.lit(FILE_ROWS) + F.col("part")).alias("row_idx"), "line", *KEY)
     if not rows.limit(1).count():
         raise DataError(f"no trace rows found in {path}")
     return rows
 
 
-def _numbered(paths: DataFrame) -> DataFrame:
-    from .records import numbered
-
-    return numbered(paths, "__file")
-
-
 def pass_violations(traces: DataFrame) -> DataFrame:
     """``row_idx, problem`` of traces whose samples are not a non-empty list of lists of strings."""
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), "$.self_consistency.passes", "variant"))
