@@ -110,12 +110,12 @@ def numeric_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT l_orderkey, l_linenumber, arg_min(l_quantity, l_partkey * 1000 + l_suppkey) AS x FROM lineitem GROUP BY ALL)
+    """WITH q AS (SELECT l_orderkey, l_linenumber, arg_min(l_quantity, (l_partkey * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) AS x FROM lineitem GROUP BY ALL)
     SELECT l_orderkey AS row_idx, median(x) AS median FROM q GROUP BY l_orderkey"""
 )
 def median_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    pos = (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos")
+    pos = ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("pos")
     passes = lines.select(F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("pass_idx"), pos, F.col("l_quantity").cast("string").alias("value"))
     return votes.median_values(passes, passes)
 
