@@ -44,7 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut lineage that outlives executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -49,7 +49,7 @@ def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         hashes = hashes.when(size == k, shingle_hashes("w", k))
     rows = w.select("item_id", size.alias("k"), F.explode(F.array_distinct(hashes)).alias("h")).distinct()
     counts = rows.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    return stored(rows.join(counts, "item_id"))
+    return rows.join(counts, "item_id")
 
 
 def _exploded(docs: DataFrame, lengths: list[int]) -> DataFrame:

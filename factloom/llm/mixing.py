@@ -26,18 +26,21 @@ SHARE = 1.5
 COPIES = 2
 
 
-def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """Add the inclusive running total of ``value`` in the given global order as column ``name``."""
+def running_total(df: DataFrame, order: list[Column], **totals: str) -> DataFrame:
+    """Add inclusive running totals in the given global order: ``name=column`` for each."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
-    sums = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    sums = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__sum_{n}") for n, c in totals.items()])
     # as many rows as partitions, whatever the input
-    before = sums.select(
-        F.col("__part").alias("__part_of"), (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before")
-    )
-    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = placed.withColumn("__inside", inside).join(F.broadcast(before), F.col("__part") == F.col("__part_of"))
-    return joined.withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__part_of", "__inside", "__before")
+    upto = Window.orderBy("__part")
+    before = sums.select(F.col("__part").alias("__part_of"), *[(F.sum(f"__sum_{n}").over(upto) - F.col(f"__sum_{n}")).alias(f"__before_{n}") for n in totals])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n, c in totals.items():
+        placed = placed.withColumn(n, F.sum(c).over(inside))
+    joined = placed.join(F.broadcast(before), F.col("__part") == F.col("__part_of"))
+    for n in totals:
+        joined = joined.withColumn(n, F.col(n) + F.col(f"__before_{n}"))
+    return joined.drop("__part", "__part_of", *[f"__before_{n}" for n in totals])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> tuple[DataFrame, float]:
@@ -47,15 +50,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     the source's size; the level makes the targets add up to the budget.
     """
     by_name = [F.col("source").asc_nulls_last()]
-    ranked = running_total(sizes.withColumn("__one", F.lit(1)), by_name, "__one", "__rank")
-    ranked = running_total(ranked, by_name, "source_size", "source_end")
+    ranked = running_total(sizes.withColumn("__one", F.lit(1)), by_name, __rank="__one", source_end="source_size")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("__weight", F.element_at(cycle, (F.pmod(F.col("__rank") - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = stored(ranked.withColumn("__ceiling", F.col("source_size") * float(copies)).withColumn("__ratio", F.col("__ceiling") / F.col("__weight")))
+    ranked = ranked.withColumn("__ceiling", F.col("source_size") * float(copies)).withColumn("__ratio", F.col("__ceiling") / F.col("__weight"))
     total, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("__weight"), F.lit(0.0))).first()
     budget = share * total
     order = [F.col("__ratio"), F.col("__rank")]
-    filled = running_total(running_total(ranked, order, "__ceiling", "__full"), order, "__weight", "__spent")
+    filled = running_total(ranked, order, __full="__ceiling", __spent="__weight")
     rest = F.lit(weight) - F.col("__spent") + F.col("__weight")
     level = (F.lit(budget) - F.col("__full") + F.col("__ceiling")) / rest
     found = filled.select(level.alias("level"), "__ratio", "__rank").where(F.col("__ratio") >= F.col("level"))
@@ -71,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     goals, budget = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies)
     shuffled = F.md5(F.col("doc_id").cast("string").cast("binary"))
     order = [F.col("source").asc_nulls_last(), F.col("__shuffled"), F.col("doc_id"), F.col("size")]
-    queued = running_total(slim.withColumn("__shuffled", shuffled), order, "size", "__running")
+    queued = running_total(slim.withColumn("__shuffled", shuffled), order, __running="size")
     known = goals.withColumnRenamed("source", "__source")
     queued = queued.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     cumulative = F.col("__running") - (F.col("source_end") - F.col("source_size"))
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     )
     keys = ["doc_id", "source", "size", "source_size", "target", "__running"]
     line = [F.col("__finish"), F.col("source").asc_nulls_last(), F.col("__running"), F.col("doc_id"), F.col("__pass")]
-    served = running_total(entries.select(*keys, "__finish", "__pass"), line, "size", "__total")
+    served = running_total(entries.select(*keys, "__finish", "__pass"), line, __total="size")
     taken = F.sum(F.when(F.col("__total") <= F.lit(budget), F.col("size")).otherwise(F.lit(0)))
     per_row = F.sum(F.when(F.col("__pass") == 0, F.lit(1)).otherwise(F.lit(0))).alias("__rows")
     # rows that share all keys were queued one after the other: none has a size above 0

@@ -35,6 +35,7 @@ from .components import components
 COORDINATES = 64
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 2_000_000
+BRANCHES = 32
 _DRAW = np.random.default_rng(20).integers(1, 1 << 63, (3, COORDINATES), dtype=np.uint64)
 _FACTOR, _SHIFT, _COORDINATE = _DRAW[0] | np.uint64(1), _DRAW[1], _DRAW[2]
 
@@ -132,7 +133,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def forest(node: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links of the confirmed pairs among the rows of one block pair."""
+    """Links that span what confirmed pairs connect among the rows of one block pair.
+
+    In a large block they form trees of few branches: any links that connect the same rows will do for
+    components, and no row gets very many.
+    """
     t, n = match_threshold(num, den), len(node)
     near = agreements(sig, sig) >= t
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -161,24 +166,42 @@ def forest(node: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], num: int,
         if not waiting[start]:
             continue
         waiting[start] = False
-        queue = [start]
-        while queue:
-            x = queue.pop()
-            found = np.flatnonzero(near[x] & waiting)
+        part, at = [start], 0
+        while at < len(part):
+            found = np.flatnonzero(near[part[at]] & waiting)
             waiting[found] = False
-            links += [(int(node[x]), int(node[y])) for y in found]
-            queue += found.tolist()
+            part += found.tolist()
+            at += 1
+        links += [(int(node[part[k]]), int(node[part[(k - 1) // BRANCHES]])) for k in range(1, len(part))]
     return links
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of every node to the smallest node that the given links connect it with."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(x, find(x)) for x in list(root) if find(x) != x]
+
+
 def _block_links(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
         sets = [np.asarray(x.values.to_numpy()).view(np.uint64) for x in group.column("shingles")]
         sig = np.array([x.values.to_numpy() for x in group.column("sig")])
         found = forest(group.column("node").to_numpy(), sig, sets, num, den)
+        whole = group.column("blocks")[0].as_py() == 1  # then the group is its cluster, and the stars are final
+        found = stars(found) if whole else found
         if len(sets) > 256:
             tc.release()
-        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64()), "final": pa.array([whole] * len(found), pa.bool_())})
 
     return run
 
@@ -195,11 +218,11 @@ def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def links_between(docs: DataFrame, classes: DataFrame, sizes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Spanning links of confirmed pairs of classes."""
+    """``u, v, final``: spanning links of confirmed pairs of classes; final ones lead to the smallest node already."""
     entries = stored(postings(classes, num, den))
     lowest = entries.groupBy("key").agg(F.min("node").alias("low"))
     meets = entries.join(lowest, "key").where("node > low").select("node", "low").distinct()
-    clusters = stored(components(meets).withColumnRenamed("component", "cluster"))
+    clusters = components(meets).withColumnRenamed("component", "cluster")
     slim = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"))
     members = slim.join(checked_broadcast(clusters), F.col("__doc") == F.col("node"))
     sets = stored(full_sets(members.select("node", "__text"), size))
@@ -207,11 +230,11 @@ def links_between(docs: DataFrame, classes: DataFrame, sizes: DataFrame, size: i
     count = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     # clusters of one block need no entry, so the table has a row for every thousand documents at most
     blocks = weight.select("cluster", count.alias("__blocks")).where("__blocks > 1")
-    held = sets.join(checked_broadcast(clusters), "node").join(checked_broadcast(blocks), "cluster", "left")
+    held = sets.join(clusters, "node").join(blocks, "cluster", "left")
     placed = held.withColumn("blocks", F.coalesce("__blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.withColumn("o", others).select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "sig", "shingles")
-    return paired.groupBy("cluster", "i", "j").applyInArrow(_block_links(num, den), "u long, v long")
+    paired = placed.withColumn("o", others).select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "sig", "shingles", "blocks")
+    return paired.groupBy("cluster", "i", "j").applyInArrow(_block_links(num, den), "u long, v long, final boolean")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, num: int = 85, den: int = 100) -> DataFrame:
@@ -222,14 +245,21 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 85, den: int = 10
     rows = stored(sketches(docs, size))
     real = rows.where("doc_id is not null and n_shingles > 0")
     same = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    # only sets that several rows have need a look-up, so a large group of copies is not dealt by its key
-    found = real.join(checked_broadcast(stored(same.drop("n"))), ["d1", "d2"], "left").withColumn("node", F.coalesce("low", "doc_id"))
-    known = found.where("doc_id > node").select("doc_id", "node").distinct()
+    # only sets that several rows have need a look-up; under keys that are dealt again, copies of one set can be split
+    low = same.select((F.col("d1") + F.lit(0)).alias("k1"), (F.col("d2") + F.lit(0)).alias("k2"), "low")
+    found = real.join(low, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left").withColumn("node", F.coalesce("low", "doc_id"))
     classes = found.where("doc_id = node").select("node", "sig")
     sizes = real.select(F.col("doc_id").alias("node"), "n_shingles")
-    links = links_between(docs, classes, sizes, size, num, den)
-    parts = components(links.unionByName(known.toDF("u", "v"))).where("node <> component").toDF("__node", "component_id")
-    whole = rows.select("doc_id", "n_shingles").join(parts, F.col("doc_id") == F.col("__node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    out = whole.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # rows of one id with different texts are one document
+    ids = found.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("u", "v", F.lit(None).cast("boolean").alias("final"))
+    links = stored(links_between(docs, classes, sizes, size, num, den).unionByName(ids))
+    # a cluster of one block is done; the others, and documents of several texts (null), may join across blocks
+    kinds = {r[0] for r in links.select("final").distinct().collect()}  # three values at most
+    joining = links if None in kinds else links.where("not final")
+    done = links.where("final" if None not in kinds else "false").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    parts = done.unionByName(components(joining.select("u", "v"))) if kinds - {True} else done
+    parts = parts.where("node <> component").toDF("__node", "__component")
+    placed = found.select("doc_id", "n_shingles", "node").join(parts, F.col("node") == F.col("__node"), "left")
+    linked = placed.select("doc_id", "n_shingles", F.coalesce("__component", "node").alias("component_id"))
+    alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

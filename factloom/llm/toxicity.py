@@ -57,8 +57,9 @@ def word_steps(counts: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     base = (toxic + 1.0) / (clean + toxic + 2.0)
     rate = np.full(len(levels[0]), base)
     for level, bucket in enumerate(levels):
-        bad, good = counts[level, 1, bucket], counts[level, 0, bucket]
+        bad, good = counts[level, 1, bucket].astype(float), counts[level, 0, bucket].astype(float)
         rate = (bad + PRIOR * rate) / (bad + good + PRIOR)
+    rate = np.minimum(rate, 1 - 1e-9)
     odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
     return np.minimum(odds, CEILING) - DRIFT
 
@@ -202,17 +203,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = L
                     ["y", "n", "scores"],
                 )
 
-    seen = mapped(rows, cross, "y long, n long, scores array<double>").toArrow().to_pydict()
-    bins, x, y = np.zeros(len(STEP_BINS)), [], []
-    for kind, scores in zip(seen["y"], seen["scores"], strict=True):
-        if kind < 0:
-            bins += scores
+    seen = mapped(rows, cross, "y long, n long, scores array<double>").toArrow()
+    kind, n = (np.concatenate([c.to_numpy() for c in seen.column(k).chunks] or [np.zeros(0, np.int64)]) for k in ("y", "n"))
+    scores = [x.values.to_numpy() for x in seen.column("scores")]
+    bins = sum((s for k, s in zip(kind, scores, strict=True) if k < 0), np.zeros(len(STEP_BINS)))
     scale = evd_scale(STEP_BINS, bins)
-    for kind, n, scores in zip(seen["y"], seen["n"], seen["scores"], strict=True):
-        if kind >= 0:
-            x.append(statistics(scores, n, scale))
-            y.append(float(kind))
-    return Model(both, scale, logistic(np.array(x), np.array(y)))
+    x = np.array([statistics(s.tolist(), int(m), scale) for k, m, s in zip(kind, n, scores, strict=True) if k >= 0])
+    weights = logistic(x, kind[kind >= 0].astype(float))
+    used.unpersist()
+    del counts, cells, seen, scores, x
+    tc.release()
+    return Model(both, scale, weights)
 
 
 def score_texts(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, list[list[dict]]]:
