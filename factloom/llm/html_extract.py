@@ -5,8 +5,8 @@ with white space folded.  Each block is a line with a text-to-tag ratio; the rat
 Gaussian along the page and clustered by a threshold, which selects the content regions.  Blocks inside
 structural boilerplate (navigation, page headers, footers, sidebars, forms, adverts, notices, reader
 comments, hidden elements) never count as text.  A marked article that holds a selected line is a region
-and is kept whole; on pages that mark none, the region spans from the first to the last selected line of
-the containers that hold selected lines, with the headings that lead into it.
+and is kept whole; on pages that mark none, the region spans from the first to the last selected line, with
+the headings that lead into it and without blocks of links in containers that hold no selected line.
 
 Null, empty or unparsable html gives an empty text.  Null ids, repeated rows and extra columns pass
 unharmed: one row out for each row in.
@@ -36,8 +36,12 @@ CONTAINER = frozenset("article main section div body html table tbody thead tfoo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class, id or role that name boilerplate.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar aside rail footer masthead topbar banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond responses discussion reply replies related recommended recommendations widget widgets toolbar pagination pager skip contentinfo complementary search".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar aside rail footer masthead topbar banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond responses discussion reply replies related recommended recommendations widget widgets toolbar pagination pager skip contentinfo complementary search crumbs dialog toast paywall lightbox copyright disclaimer legal adsbygoogle".split()
 )
+#: Beginnings of such parts.
+MARK_STEMS = ("comment", "sidebar", "navbar", "advert", "sponsor", "cookie", "newsletter", "footer", "breadcrumb", "popup", "promo", "subscri")
+#: Parts that make a "header" the head of the article itself.
+OWN = frozenset("article post entry content story main body text".split())
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -52,7 +56,9 @@ def is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
             continue
         if name in ("class", "id", "role"):
             lowered = {p.lower() for p in _PARTS.split(value)}
-            if lowered & MARKS or "side" in lowered and "bar" in lowered:
+            if lowered & MARKS or "side" in lowered and "bar" in lowered or any(x.startswith(MARK_STEMS) for x in lowered):
+                return True
+            if "header" in lowered and not lowered & OWN:
                 return True
         elif name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return True
@@ -60,26 +66,28 @@ def is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, skipped, number of the outermost article or 0, heading, container) for every block."""
+    """Collects (text, tags, skipped, number of the outermost article or 0, heading, container, mostly links) for every block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, int, bool, int, bool, int]] = []
+        self.found: list[tuple[str, int, bool, int, bool, int, bool]] = []
         self.open: list[tuple[str, bool]] = []  # container tags and whether they start a skipped part
         self.skips = self.articles = self.article = 0
         self.held: list[str] = []
         self.tags = 0
         self.heading = False
-        self.container = 0
+        self.container = self.anchors = self.linked = 0
         self.inner: list[int] = [0]
+        self.doubtful: set[int] = set()  # articles whose own marks name boilerplate
 
     def end_block(self) -> None:
         if self.held:
             text = _SPACE.sub(" ", "".join(self.held)).strip()
             self.held.clear()
             if text:
-                self.found.append((text, self.tags, self.skips > 0, self.article if self.articles else 0, self.heading, self.inner[-1]))
+                self.found.append((text, self.tags, self.skips > 0, self.article if self.articles else 0, self.heading, self.inner[-1], 2 * self.linked > len(text)))
                 self.tags = 0
+            self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -89,6 +97,7 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in HEADINGS:
             self.heading = True
+        self.anchors += tag == "a"
         if tag in VOID:
             return
         marked = bool(attrs) and tag not in ("html", "body", "article", "main") and is_boilerplate(attrs)
@@ -100,7 +109,10 @@ class Blocks(HTMLParser):
                 self.end_block()
                 self.skips += 1
             if tag in ("article", "main"):
-                self.article += not self.articles
+                if not self.articles:
+                    self.article += 1
+                    if attrs and is_boilerplate(attrs):
+                        self.doubtful.add(self.article)
                 self.articles += 1
             self.open.append((tag, skip))
             self.container += 1
@@ -120,6 +132,8 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in HEADINGS:
             self.heading = False
+        if tag == "a" and self.anchors:
+            self.anchors -= 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self.end_block()
@@ -131,6 +145,8 @@ class Blocks(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.held.append(data)
+        if self.anchors:
+            self.linked += len(data)
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -164,12 +180,13 @@ def extract(html: str | None) -> str:
     if marked:
         # a marked article is a region of its own: it is taken whole if a selected line lies in it
         articles = {lines[k][3] for k in chosen} - {0} or {lines[k][3] for k in marked}
+        articles = articles - parser.doubtful or articles
         return "\n".join(lines[k][0] for k in marked if lines[k][3] in articles)
     homes = {lines[k][5] for k in chosen}
     begin, end = chosen[0], chosen[-1]
     while begin and not lines[begin - 1][2] and lines[begin - 1][4]:
         begin -= 1
-    return "\n".join(lines[k][0] for k in content if begin <= k <= end and (lines[k][5] in homes or lines[k][4]))
+    return "\n".join(lines[k][0] for k in content if begin <= k <= end and (lines[k][5] in homes or not lines[k][6]))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
