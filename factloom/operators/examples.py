@@ -40,31 +40,69 @@ def slots(total: Column, empty: Column) -> Column:
     return F.when(empty > 0, F.transform(F.sequence(F.lit(0), e - 1), place)).otherwise(F.array().cast("array<int>"))
 
 
+def _rings(examples: DataFrame) -> DataFrame:
+    """Examples with their class, their place in its ring, and whether an example with a rationale stands for them.
+
+    A ring holds the examples of a relation with or without objects, with or without a rationale, in
+    order.  ``nth_fresh`` counts the places before that no example with a rationale stands for.
+    """
+    plain = F.coalesce(~F.col("Rationale").rlike(r"\S"), F.lit(True))
+    marked = examples.withColumn("plain", plain).withColumn("empty", F.coalesce(F.size("ObjectEntities") == 0, F.lit(True)))
+    told = marked.where("not plain").select("Relation", "empty", "SubjectEntity", F.lit(True).alias("told")).distinct()
+    known = marked.join(told, ["Relation", "empty", "SubjectEntity"], "left").withColumn("fresh", ~F.col("plain") | F.col("told").isNull()).drop("told")
+    ring = Window.partitionBy("Relation", "empty", "plain").orderBy("row_idx")
+    before = F.coalesce(F.count_if("fresh").over(ring.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return known.withColumn("rank", F.row_number().over(ring) - 1).withColumn("nth_fresh", before)
+
+
+def _skipping(start: Column, own: Column) -> Column:
+    """The place of the ``start``-th item of a ring without the places in ``own`` (ascending)."""
+    return F.aggregate(own, start, lambda t, p: F.when(p <= t, t + 1).otherwise(t))
+
+
 def select_examples(targets: DataFrame, examples: DataFrame) -> DataFrame:
-    """``target, place`` and the chosen example's ``row_idx, SubjectEntity, ObjectEntities`` (and ``Rationale``).
+    """``target, place`` and the chosen example's ``row_idx, SubjectEntity, ObjectEntities, Rationale``.
 
     ``targets`` has ``target, SubjectEntity, Relation, offset, limit``; ``examples`` has ``row_idx,
-    SubjectEntity, Relation, ObjectEntities`` and may have ``Rationale``.  Targets are few for each
-    relation's examples by nature: each asks for its own prompt.
+    SubjectEntity, Relation, ObjectEntities`` and may have ``Rationale``.  A target reads the few places
+    of each ring that its offset points at, by equi-joins, so the work is the number of targets times
+    their limits, whatever the number of examples.
     """
     if "Rationale" not in examples.columns:
         examples = examples.withColumn("Rationale", F.lit(None).cast("string"))
-    own = targets.where("limit > 0").select("target", F.col("SubjectEntity").alias("__for"), "Relation", "offset", "limit")
-    met = own.join(examples, "Relation").where(~F.col("SubjectEntity").eqNullSafe(F.col("__for")))
-    plain = F.coalesce(~F.col("Rationale").rlike(r"\S"), F.lit(True))
-    met = met.withColumn("plain", plain).withColumn("empty", F.coalesce(F.size("ObjectEntities") == 0, F.lit(True)))
-    ring = Window.partitionBy("target", "empty", "plain")
-    ranked = met.withColumn("rank", F.row_number().over(ring.orderBy("row_idx")) - 1).withColumn("size", F.count("*").over(ring))
-    turned = ranked.withColumn("at", rotated_rank(F.col("rank"), F.col("size"), F.col("offset")))
-    order = [F.col("plain"), F.col("at")]
-    first = turned.withColumn("nth", F.row_number().over(Window.partitionBy("target", "empty", "SubjectEntity").orderBy(*order))).withColumn(
-        "n", F.count("*").over(Window.partitionBy("target"))
+    rings = _rings(examples.select("row_idx", "SubjectEntity", "Relation", "ObjectEntities", "Rationale"))
+    ring_key, own_key = ["Relation", "empty", "plain"], ["Relation", "SubjectEntity"]
+    # sizes of rings, and how often a subject comes in one at most
+    times = rings.groupBy(*ring_key, "SubjectEntity").agg(F.count("*").alias("times"), F.count_if("fresh").alias("fresh_times"), F.sort_array(F.collect_list("rank")).alias("places"))
+    sizes = times.groupBy(*ring_key).agg(F.sum("times").alias("size"), F.sum("fresh_times").alias("fresh_size"), F.max("times").alias("most"))
+    classes = times.groupBy("Relation", "empty").agg(F.count_distinct("SubjectEntity").alias("subjects"), F.sum("times").alias("rows"))
+    totals = classes.groupBy("Relation").agg(
+        F.sum("rows").alias("all_rows"), F.sum(F.when(F.col("empty"), F.col("subjects")).otherwise(0)).alias("all_e"), F.sum(F.when(~F.col("empty"), F.col("subjects")).otherwise(0)).alias("all_f")
     )
-    unique = first.where("nth = 1").withColumn("k", F.row_number().over(Window.partitionBy("target", "empty").orderBy(*order)) - 1)
-    of_target = Window.partitionBy("target")
-    sized = unique.withColumn("e", F.count_if("empty").over(of_target).cast("int")).withColumn("f", F.count_if(~F.col("empty")).over(of_target).cast("int"))
+    own_totals = times.groupBy(*own_key).agg(F.sum("times").alias("own_rows"), F.max(F.col("empty").cast("int")).alias("own_e"), F.max((~F.col("empty")).cast("int")).alias("own_f"))
+    asked = targets.where("limit > 0").select("target", "SubjectEntity", "Relation", "offset", "limit")
+    counted = asked.join(F.broadcast(totals), "Relation").join(own_totals, own_key, "left").fillna(0, ["own_rows", "own_e", "own_f"])
+    pools = counted.select(
+        "target", "SubjectEntity", "Relation", "offset", "limit", (F.col("all_rows") - F.col("own_rows")).alias("n"), (F.col("all_e") - F.col("own_e")).cast("int").alias("e"), (F.col("all_f") - F.col("own_f")).cast("int").alias("f")
+    ).where("n > 0")
+    own = times.select(*ring_key, "SubjectEntity", "places", "times")
+    turned = pools.join(F.broadcast(sizes), "Relation").join(own, [*ring_key, "SubjectEntity"], "left")
+    left = F.col("size") - F.coalesce("times", F.lit(0))
+    none = F.array().cast("array<int>")
+    start = F.pmod(F.col("offset"), F.nullif(left, F.lit(0))).cast("int")
+    begun = turned.where(left > 0).withColumn("rank", _skipping(start, F.coalesce("places", none)))
+    # from the place to the number of fresh ones before it, then to the next fresh places in turn
+    at = rings.select(*ring_key, "rank", "nth_fresh")
+    reach = F.least(F.col("fresh_size"), (F.col("limit") + 1) * F.col("most")).cast("int")
+    pointed = begun.join(at, [*ring_key, "rank"]).where("fresh_size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), reach - 1)))
+    pointed = pointed.withColumn("nth_fresh", F.pmod(F.col("nth_fresh") + F.col("turn"), F.col("fresh_size"))).withColumnRenamed("SubjectEntity", "__for")
+    fresh = rings.where("fresh").drop("rank", "fresh")
+    met = pointed.drop("rank", "places", "times", "size", "most", "fresh_size").join(fresh, [*ring_key, "nth_fresh"]).where(~F.col("SubjectEntity").eqNullSafe(F.col("__for")))
+    order = [F.col("plain"), F.col("turn")]
+    first = met.withColumn("nth", F.row_number().over(Window.partitionBy("target", "empty", "SubjectEntity").orderBy(*order))).where("nth = 1")
+    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("target", "empty").orderBy(*order)) - 1)
     take_e, take_f = quotas(F.col("limit"), F.col("n"), F.col("e"), F.col("f"), F.col("e"))
-    kept = sized.withColumn("te", take_e.cast("int")).withColumn("tf", take_f.cast("int")).where("(empty and k < te) or (not empty and k < tf)")
+    kept = ranked.withColumn("te", take_e.cast("int")).withColumn("tf", take_f.cast("int")).where("(empty and k < te) or (not empty and k < tf)")
     places = slots(F.col("te") + F.col("tf"), F.col("te"))
     free = F.array_except(F.sequence(F.lit(0), F.col("te") + F.col("tf") - 1), F.col("places"))
     placed = kept.withColumn("places", places).withColumn("place", F.when(F.col("empty"), F.get("places", F.col("k"))).otherwise(F.get(free, F.col("k"))))

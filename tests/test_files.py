@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 
 import pytest
@@ -348,3 +349,48 @@ def test_row_shards(tmp_path):
     store.path(0).rename(store.path(1))
     with pytest.raises(DataError, match="contiguous"):
         store.load()
+
+
+def plain_choice(rows, relation, limit, subject, offset):
+    """The rule for one target, row by row."""
+    own = [r for r in rows if r[2] == relation and r[1] != subject]
+    if limit <= 0 or not own:
+        return []
+
+    def pool(empty):
+        group = [r for r in own if (not r[3]) is empty]
+        turned = []
+        for told in (True, False):
+            ring = [r for r in group if bool(r[4] and r[4].strip()) is told]
+            shift = offset % len(ring) if ring else 0
+            turned += ring[shift:] + ring[:shift]
+        return [r for i, r in enumerate(turned) if r[1] not in {x[1] for x in turned[:i]}]
+
+    e, f = pool(True), pool(False)
+    n_e = min(round(limit * len(e) / len(own)), len(e))
+    n_f = min(limit - n_e, len(f))
+    n_e = min(limit - n_f, len(e))
+    e, f, out = e[:n_e], f[:n_f], []
+    used = 0
+    for i in range(n_e + n_f):
+        if used < n_e and (n_f == i - used or (used + 0.5) / n_e <= (i + 0.5) / (n_e + n_f)):
+            out.append(e[used][0])
+            used += 1
+        else:
+            out.append(f[i - used][0])
+    return out
+
+
+def test_examples_against_the_plain_rule(spark):
+    rng = random.Random(9)
+    rows = [
+        (i, f"s{rng.randrange(14)}", rng.choice(["r", "q"]), [] if rng.random() < 0.4 else [["o"]], "why" if rng.random() < 0.3 else rng.choice([None, " "]))
+        for i in range(60)
+    ]
+    table = spark.createDataFrame(rows, "row_idx long, SubjectEntity string, Relation string, ObjectEntities array<array<string>>, Rationale string")
+    asked = [(t, f"s{rng.randrange(16)}", rng.choice(["r", "q", "none"]), rng.randrange(40), rng.randrange(8)) for t in range(60)]
+    targets = spark.createDataFrame(asked, "target int, SubjectEntity string, Relation string, offset int, limit int")
+    got = {t: [] for t, *_ in asked}
+    for r in examples.select_examples(targets, table).orderBy("place").collect():
+        got[r["target"]].append(r["row_idx"])
+    assert got == {t: plain_choice(rows, rel, limit, s, o) for t, s, rel, o, limit in asked}
