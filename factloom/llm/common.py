@@ -63,6 +63,15 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(tidy, schema)
 
 
+def dealt_anew(key: str) -> Column:
+    """The same integer as an expression whose partitioning Spark does not know.
+
+    A join on it deals an aggregated side once more, so that both sides are plain exchanges and adaptive
+    execution can split the rows of a very common key.
+    """
+    return F.col(key).bitwiseXOR(F.lit(1)).bitwiseXOR(F.lit(1))
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if counting up to ``limit`` proves it small; leave it as it is beyond."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
-
-def _dealt_anew(minima: DataFrame) -> DataFrame:
-    """``k, m`` under a key that Spark deals again, so that both sides of a join can be split where a node has many links."""
-    return minima.select((F.col("u") + F.lit(0)).alias("k"), "m")
+from .common import dealt_anew, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,9 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(_dealt_anew(lowest), F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest.select(dealt_anew("u").alias("k"), "m"), F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(_dealt_anew(least), F.col("u") == F.col("k"))
+        joined = large.join(least.select(dealt_anew("u").alias("k"), "m"), F.col("u") == F.col("k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u > v").distinct())
         # done when all are stars: no node has two centres, and no centre has one

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import checked_broadcast, mapped, stored
+from .common import checked_broadcast, dealt_anew, mapped, stored
 from .components import components
 
 COORDINATES = 64
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 85, den: int = 10
     real = rows.where("doc_id is not null and n_shingles > 0")
     same = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
     # only sets that several rows have need a look-up; under keys that are dealt again, copies of one set can be split
-    low = same.select((F.col("d1") + F.lit(0)).alias("k1"), (F.col("d2") + F.lit(0)).alias("k2"), "low")
+    low = same.select(dealt_anew("d1").alias("k1"), dealt_anew("d2").alias("k2"), "low")
     found = real.join(low, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left").withColumn("node", F.coalesce("low", "doc_id"))
     classes = found.where("doc_id = node").select("node", "sig")
     sizes = real.select(F.col("doc_id").alias("node"), "n_shingles")
