@@ -230,7 +230,7 @@ def links_between(docs: DataFrame, classes: DataFrame, sizes: DataFrame, size: i
     count = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     # clusters of one block need no entry, so the table has a row for every thousand documents at most
     blocks = weight.select("cluster", count.alias("__blocks")).where("__blocks > 1")
-    held = sets.join(clusters, "node").join(blocks, "cluster", "left")
+    held = sets.join(clusters, "node").join(checked_broadcast(blocks), "cluster", "left")
     placed = held.withColumn("blocks", F.coalesce("__blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.withColumn("o", others).select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "sig", "shingles", "blocks")
