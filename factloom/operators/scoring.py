@@ -6,7 +6,11 @@ after one join by key no further shuffle is needed until the averages.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,22 +208,38 @@ def oracle_ceiling(pass_scores: DataFrame) -> DataFrame:
     return _by_relation(best, F.avg("right").alias("ceiling"))
 
 
+def _resampled(resamples: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of weights and of weighted differences of a task's ``d, n, h``, by resample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, sums, seen = np.zeros(resamples), np.zeros(resamples), False
+        for batch in batches:
+            for d, n, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d is None:
+                    continue
+                drawn = np.random.default_rng(h % (1 << 64)).poisson(n, resamples)
+                weights += drawn
+                sums += drawn * d
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, resamples + 1, dtype=np.int32)), pa.array(weights), pa.array(sums)], ["k", "w", "wd"])
+
+    return run
+
+
 def paired_bootstrap(left: DataFrame, right: DataFrame, resamples: int = 20_000, seed: int = 0) -> DataFrame:
     """``diff, low, high, p_value``: mean F1 difference with a 95 % interval from row resampling.
 
-    Each row draws its Poisson(1) weight in every resample from a hash of its key, so draws need no
-    shuffle of rows and agree between runs; a row's contributions are pre-aggregated before they meet.
+    Each row has a Poisson(1) weight in every resample.  Rows of equal difference count by the sum of their
+    weights only, which for n rows is Poisson(n), so each distinct difference is drawn once a resample, from
+    a generator seeded by the difference: draws need no shuffle of rows and agree between runs.
     """
     both = left.select(*KEY, F.col("f1").alias("a")).join(right.select(*KEY, F.col("f1").alias("b")), KEY)
-    rows = both.select(F.xxhash64(*KEY, F.lit(seed)).alias("h"), (F.col("a") - F.col("b")).alias("d"))
-    drawn = rows.select("h", "d", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("k"))
-    u = (F.pmod(F.xxhash64("h", "k"), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
-    weight, mass, total = F.lit(0), 0.36787944117144233, 0.0
-    for n in range(12):
-        total += mass
-        weight = weight + (u > F.lit(total)).cast("int")
-        mass /= n + 1
-    means = drawn.withColumn("w", weight).groupBy("k").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    rows = both.select((F.col("a") - F.col("b")).alias("d"))
+    equal = rows.groupBy("d").agg(F.count("*").alias("n"), F.xxhash64("d", F.lit(seed)).alias("h"))
+    drawn = equal.mapInArrow(_resampled(resamples), "k int, w double, wd double")
+    # rounded, so that a mean of 0 stays 0 in whatever order a task adds
+    means = drawn.groupBy("k").agg(F.round(F.sum("wd") / F.nullif(F.sum("w"), F.lit(0.0)), 12).alias("m"))
     spread = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") <= 0).cast("double")).alias("below"))
     p = F.least(2 * F.least(F.col("below"), 1 - F.col("below")), F.lit(1.0))
     return rows.agg(F.avg("d").alias("diff")).join(spread, how="cross").select("diff", "low", "high", p.alias("p_value"))

@@ -427,4 +427,4 @@ def oracle_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scores(spark, sf_dir)
     flipped = s.withColumn("f1", F.greatest(F.col("f1") - F.lit(0.1), F.lit(0.0)))
-    return scoring.paired_bootstrap(s, flipped, 200)
+    return scoring.paired_bootstrap(s, flipped)

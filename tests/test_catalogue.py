@@ -1,3 +1,4 @@
+import inspect
 import os
 import shutil
 import subprocess
@@ -6,6 +7,7 @@ import sys
 import pytest
 from oracle import compare
 
+from factloom.operators import scoring
 from factloom.plans import catalogue
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -22,6 +24,21 @@ def test_queries_without_sql(spark):
         assert catalogue.QUERIES[name](spark, SF).collect()
 
 
+def test_bootstrap_query_draws_the_published_resamples(spark, monkeypatch):
+    asked, made = [], scoring.paired_bootstrap
+    given = inspect.signature(made)
+
+    def watched(*args, **named):
+        bound = given.bind(*args, **named)
+        bound.apply_defaults()
+        asked.append(bound.arguments["resamples"])
+        return made(*args, **named)
+
+    monkeypatch.setattr(scoring, "paired_bootstrap", watched)
+    catalogue.QUERIES["bootstrap_difference"](spark, SF)
+    assert asked == [20_000]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
