@@ -8,7 +8,8 @@ comments, hidden elements) never count as text.  A marked article that holds a s
 and is kept whole; on pages that mark none, the region spans from the first to the last selected line, with
 the headings that lead into it and without blocks of links in containers that hold no selected line.
 
-Null, empty or unparsable html gives an empty text.  Null ids, repeated rows and extra columns pass
+Null or empty html gives an empty text; broken markup is read to its end, a ``<![`` as a comment up to
+the next ``>``, as browsers do.  Null ids, repeated rows and extra columns pass
 unharmed: one row out for each row in.
 """
 
@@ -44,9 +45,15 @@ MARK_STEMS = ("comment", "sidebar", "navbar", "advert", "sponsor", "cookie", "ne
 OWN = frozenset("article post entry content story main body text".split())
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+#: Numeric references beyond the digits that int() takes; no code point needs as many.
+_LONG_REFERENCE = re.compile(r"&#[0-9]{1000,}")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _shortened(reference: re.Match[str]) -> str:
+    return "&#" + (reference[0][2:].lstrip("0") or "0")[:8]
+
+
 def is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
     """Whether the attributes name a boilerplate or hidden element."""
     for name, value in attrs:
@@ -143,6 +150,13 @@ class Blocks(HTMLParser):
                 del self.open[k:], self.inner[k + 1 :]
                 break
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """End of a ``<![``: a comment up to the next ``>``, or CDATA within drawings and formulas."""
+        cdata = self.rawdata.startswith("<![CDATA[", i) and any(name in ("svg", "math") for name, _ in self.open)
+        close = "]]>" if cdata else ">"
+        end = self.rawdata.find(close, i + 3)
+        return end + len(close) if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         self.held.append(data)
         if self.anchors:
@@ -162,11 +176,8 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     parser = Blocks()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError, RecursionError):
-        pass  # what was read before the broken part counts
+    parser.feed(_LONG_REFERENCE.sub(_shortened, html))
+    parser.close()
     parser.end_block()
     lines = parser.found
     content = [k for k, x in enumerate(lines) if not x[2]]

@@ -419,6 +419,11 @@ def test_html(html, expected):
     assert html_extract.extract(html) == expected
 
 
+@pytest.mark.parametrize("bad", ["<![foo[ x ]]>", "<![ zz]>", "<![>", "<![endif]-->", "<![if x>", "<!x>", "&#" + "9" * 5000 + ";"])
+def test_html_is_read_beyond_broken_markup(bad):
+    assert html_extract.extract(f"<article><p>a</p>{bad}<p>b</p></article>").replace("\ufffd\n", "") == "a\nb"
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>"), (None, None, None), (1, "u", "<article>x</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, html_extract.main_text(pages).collect()), key=str) == sorted([(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1)], key=str)
