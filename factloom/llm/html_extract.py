@@ -4,9 +4,11 @@ The standard-library parser feeds a block builder: a block is the text between t
 with white space folded.  Each block is a line with a text-to-tag ratio; the ratios are smoothed with a
 Gaussian along the page and clustered by a threshold, which selects the content regions.  Blocks inside
 structural boilerplate (navigation, page headers, footers, sidebars, forms, adverts, notices, reader
-comments, hidden elements) never count as text.  A marked article that holds a selected line is a region
-and is kept whole; on pages that mark none, the region spans from the first to the last selected line, with
-the headings that lead into it and without blocks of links in containers that hold no selected line.
+comments, hidden elements) never count as text.  A marked article that holds a selected line, or any line that
+is neither a heading nor mostly links, is a region and is kept whole; on pages that mark none, the region
+spans from the first to the last selected line and grows over the adjoining blocks of its containers that
+are not mostly links and the headings that lead into it, without blocks of links in containers that hold
+no selected line.
 
 Null or empty html gives an empty text; broken markup is read to its end, a ``<![`` as a comment up to
 the next ``>``, as browsers do.  Null ids, repeated rows and extra columns pass
@@ -189,14 +191,24 @@ def extract(html: str | None) -> str:
     chosen = [k for k in content if smooth[k] >= level]
     marked = [k for k in content if lines[k][3]]
     if marked:
-        # a marked article is a region of its own: it is taken whole if a selected line lies in it
-        articles = {lines[k][3] for k in chosen} - {0} or {lines[k][3] for k in marked}
+        # a marked article is a region of its own: it is taken whole if a selected line lies in it, or
+        # a line of any length that is neither a heading nor mostly links
+        articles = {lines[k][3] for k in chosen} - {0} | {lines[k][3] for k in marked if not lines[k][4] and not lines[k][6]} or {lines[k][3] for k in marked}
         articles = articles - parser.doubtful or articles
         return "\n".join(lines[k][0] for k in marked if lines[k][3] in articles)
     homes = {lines[k][5] for k in chosen}
     begin, end = chosen[0], chosen[-1]
-    while begin and not lines[begin - 1][2] and lines[begin - 1][4]:
-        begin -= 1
+    # short paragraphs of the same containers belong to the region, also beyond skipped blocks, and so do
+    # the headings that lead into it
+    gap, k = False, begin - 1
+    while k >= 0 and (lines[k][2] or lines[k][4] and not gap or not lines[k][6] and lines[k][5] in homes):
+        gap = gap or lines[k][2]
+        begin = begin if lines[k][2] else k
+        k -= 1
+    k = end + 1
+    while k < len(lines) and (lines[k][2] or not lines[k][6] and lines[k][5] in homes):
+        end = end if lines[k][2] or lines[k][4] else k  # a heading without text after it does not count
+        k += 1
     return "\n".join(lines[k][0] for k in content if begin <= k <= end and (lines[k][5] in homes or not lines[k][6]))
 
 

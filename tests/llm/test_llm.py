@@ -424,6 +424,25 @@ def test_html_is_read_beyond_broken_markup(bad):
     assert html_extract.extract(f"<article><p>a</p>{bad}<p>b</p></article>").replace("\ufffd\n", "") == "a\nb"
 
 
+_PROSE = [f"{k} " + "long text " * 19 + "end" for k in range(6)]
+_PROSE_HTML = "".join(f"<p>{x}</p>" for x in _PROSE)
+_MENU, _FOOT = "<div>" + "<li><a href=x>menu</a></li>" * 4 + "</div>", "<footer><p>a</p><p>b</p><p>c</p></footer>"
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (f"<body>{_MENU}<div>{_PROSE_HTML}<p>The end.</p></div>{_FOOT}", [*_PROSE, "The end."]),
+        (f"<body>{_MENU}<div><h1>T</h1><p>By A. Writer</p><p>Two days ago</p>{_PROSE_HTML}</div>{_FOOT}", ["T", "By A. Writer", "Two days ago", *_PROSE]),
+        (f"<body>{_MENU}<div>{_PROSE_HTML}" + "<p>No.</p><p>Yes.</p>" * 3 + f"</div>{_FOOT}", [*_PROSE, *["No.", "Yes."] * 3]),
+        (f"<body><div>{_PROSE_HTML}<aside>x</aside><h2>Last</h2><p>Bye.</p><h2>Bare</h2></div>{_FOOT}", [*_PROSE, "Last", "Bye."]),
+        (f"<body><article>{_PROSE_HTML}</article>" + "<nav>n</nav>" * 4 + "<article><p>Short.</p></article>", [*_PROSE, "Short."]),
+    ],
+)
+def test_html_keeps_short_paragraphs(html, expected):
+    assert html_extract.extract(html).split("\n") == expected
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>"), (None, None, None), (1, "u", "<article>x</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, html_extract.main_text(pages).collect()), key=str) == sorted([(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1)], key=str)
