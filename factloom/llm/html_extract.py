@@ -37,6 +37,18 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article main section div body html table tbody thead tfoot tr ul ol dl blockquote figure details header hgroup fieldset center".split()) | SKIP
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TABLE_PARTS = frozenset("tbody thead tfoot".split())
+_ENDS_P = (BLOCK | frozenset({"search"})) - frozenset("body br caption frameset head html legend optgroup option tbody tfoot thead title tr".split())
+_LISTED = CONTAINER - {"div"} | {"td", "th"}
+#: Open elements that a start tag ends though their end tag is missing, and the elements beyond which it ends none.
+IMPLIED = [
+    (_ENDS_P, frozenset({"p"}), frozenset("table td th button object template html".split())),
+    (frozenset({"li"}), frozenset({"li"}), _LISTED),
+    (frozenset({"dt", "dd"}), frozenset({"dt", "dd"}), _LISTED),
+    (frozenset({"td", "th"}), frozenset({"td", "th"}), _TABLE_PARTS | {"tr", "table", "template"}),
+    (frozenset({"tr"}), frozenset({"tr"}), _TABLE_PARTS | {"table", "template"}),
+    (_TABLE_PARTS, _TABLE_PARTS, frozenset({"table", "template"})),
+]
 #: Parts of class, id or role that name boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar aside rail footer masthead topbar banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond responses discussion reply replies related recommended recommendations widget widgets toolbar pagination pager skip contentinfo complementary search crumbs dialog toast paywall lightbox copyright disclaimer legal adsbygoogle".split()
@@ -98,7 +110,28 @@ class Blocks(HTMLParser):
                 self.tags = 0
             self.linked = 0
 
+    def close_from(self, k: int) -> None:
+        """Close the open elements from the ``k``-th on."""
+        self.end_block()
+        for name, skip in self.open[k:]:
+            self.skips -= skip
+            self.articles -= name in ("article", "main")
+        del self.open[k:], self.inner[k + 1 :]
+
+    def close_implied(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends."""
+        for starts, ended, beyond in IMPLIED:
+            if tag in starts:
+                for k in range(len(self.open) - 1, -1, -1):
+                    if self.open[k][0] in ended:
+                        self.close_from(k)
+                        break
+                    if self.open[k][0] in beyond:
+                        break
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.open:
+            self.close_implied(tag)
         if tag in BLOCK:
             self.end_block()
         elif tag in ("td", "th"):
@@ -131,6 +164,8 @@ class Blocks(HTMLParser):
         if tag in VOID or tag not in CONTAINER:
             if tag in BLOCK:
                 self.end_block()
+            if self.open:
+                self.close_implied(tag)
             self.tags += 1
         else:
             self.handle_starttag(tag, attrs)
@@ -145,11 +180,7 @@ class Blocks(HTMLParser):
             self.anchors -= 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                self.end_block()
-                for name, skip in self.open[k:]:
-                    self.skips -= skip
-                    self.articles -= name in ("article", "main")
-                del self.open[k:], self.inner[k + 1 :]
+                self.close_from(k)
                 break
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:

@@ -443,6 +443,19 @@ def test_html_keeps_short_paragraphs(html, expected):
     assert html_extract.extract(html).split("\n") == expected
 
 
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<p class=ad>x<p>a<p>b", "a\nb"), ("<p class=ad>x <b class=promo>y</b><h2>a</h2>", "a"), ("<p class=ad>x<hr/>a", "a"),
+        ("<ul><li class=ad>x<li>a<li>b</ul>", "a\nb"), ("<ul><li class=ad>x<ul><li>y</ul>z<li>a</ul>", "a"), ("<dl><dt class=ad>x<dd>a</dl>", "a"),
+        ("<table><tr class=ad><td>x<tr><td>a</table>", "a"), ("<table><tr><td class=ad>x<td>a</table>", "a"),
+        ("<div class=ad><p>x<p>y</div>a", "a"),
+    ],
+)
+def test_html_start_tags_end_open_boilerplate(html, expected):
+    assert html_extract.extract(f"<article>{html}</article>") == expected
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>"), (None, None, None), (1, "u", "<article>x</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, html_extract.main_text(pages).collect()), key=str) == sorted([(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1)], key=str)
