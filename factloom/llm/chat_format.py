@@ -3,7 +3,7 @@
 The layout of a row is recognised by its schema fingerprint, the SHA-256 of its sorted nested field
 paths; fields that no mapping knows do not enter it.  The fingerprint selects a declarative mapping
 that names where roles and texts are.  Tables are fingerprinted by their columns, JSON payloads row by
-row by the keys they hold.  Canonical turns are written in a template that marks every turn; control
+row by the keys they hold: those of the largest mapping they hold whole, whatever keys stand beside them.  Canonical turns are written in a template that marks every turn; control
 strings inside roles and texts are escaped reversibly.  A run-length mask over the code points of
 the formatted text says what the loss covers: each assistant text.
 
@@ -33,8 +33,8 @@ _ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "ass
 class Mapping:
     """Where a layout keeps its turns.
 
-    ``turns`` names a list of objects with ``role`` and ``text`` fields; otherwise each entry of
-    ``parts`` gives a role and the fields whose texts, joined by blank lines, make that turn.  With
+    ``turns`` names a list of objects with ``role`` and ``text`` fields.  Each entry of ``parts`` gives a
+    role and the fields whose texts, joined by blank lines, make a turn (before those of the list).  With
     ``rows`` the layout is a table of one turn a row.
     """
 
@@ -50,8 +50,12 @@ class Mapping:
         if self.rows:
             return tuple(sorted((*self.rows, self.role, self.text)))
         if self.turns:
-            return tuple(sorted((self.turns, f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}")))
-        return tuple(sorted(f for _, fields in self.parts for f in fields))
+            return tuple(sorted((self.turns, f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}", *self.fields)))
+        return tuple(sorted(self.fields))
+
+    @property
+    def fields(self) -> tuple[str, ...]:
+        return tuple(f for _, fields in self.parts for f in fields)
 
     @property
     def fingerprint(self) -> str:
@@ -63,6 +67,7 @@ def fingerprint_of(paths: tuple[str, ...]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+_SYSTEM = ("system", ("system",))
 MAPPINGS = (
     Mapping("turn rows", rows=("conv_id", "turn"), role="role", text="text"),
     Mapping("messages", turns="messages", role="role", text="content"),
@@ -77,9 +82,16 @@ MAPPINGS = (
     Mapping("instruction with input", parts=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("system instruction", parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("system prompt", parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("system prompt and completion", parts=(_SYSTEM, ("user", ("prompt",)), ("assistant", ("completion",)))),
+    Mapping("system question", parts=(_SYSTEM, ("user", ("question",)), ("assistant", ("answer",)))),
+    Mapping("system instruction without input", parts=(_SYSTEM, ("user", ("instruction",)), ("assistant", ("output",)))),
+    Mapping("system messages", turns="messages", role="role", text="content", parts=(_SYSTEM,)),
+    Mapping("system message texts", turns="messages", role="role", text="text", parts=(_SYSTEM,)),
+    Mapping("system conversations", turns="conversations", role="from", text="value", parts=(_SYSTEM,)),
+    Mapping("system conversation", turns="conversation", role="role", text="content", parts=(_SYSTEM,)),
+    Mapping("system turns", turns="turns", role="role", text="text", parts=(_SYSTEM,)),
 )
 _LISTS = sorted({m.turns for m in MAPPINGS if m.turns})
-KNOWN_PATHS = tuple(sorted({p for m in MAPPINGS for p in m.paths}))
 
 
 def _below(name: str) -> Callable[[Column], Column]:
@@ -87,14 +99,18 @@ def _below(name: str) -> Callable[[Column], Column]:
 
 
 def payload_fingerprint(payload: Column) -> Column:
-    """Fingerprint of the known field paths of a JSON object."""
+    """Fingerprint of the largest mapping (the first of equals) whose field paths a JSON object has; null if none."""
     none = F.array().cast("array<string>")
     found = [F.coalesce(F.json_object_keys(payload), none)]
     for name in _LISTS:
         inner = F.coalesce(F.json_object_keys(F.get_json_object(payload, f"$.{name}[0]")), none)
         found.append(F.transform(inner, _below(name)))
-    known = F.array(*[F.lit(p) for p in KNOWN_PATHS])
-    return F.sha2(F.array_join(F.array_sort(F.array_intersect(F.concat(*found), known)), "\n"), 256)
+    paths = F.concat(*found)
+    mark = F.lit(None).cast("string")
+    for m in sorted((m for m in reversed(MAPPINGS) if not m.rows), key=lambda m: len(m.paths)):
+        missing = F.array_except(F.array(*[F.lit(p) for p in m.paths]), paths)
+        mark = F.when(F.size(missing) == 0, m.fingerprint).otherwise(mark)
+    return mark
 
 
 def _canonical(role: Column, text: Column) -> Column:
@@ -105,16 +121,20 @@ def _canonical(role: Column, text: Column) -> Column:
 
 def payload_turns(payload: Column, mapping: Mapping) -> Column:
     """Canonical turns of a JSON object under one mapping."""
+    kinds = [f"`{f}`: string" for f in mapping.fields]
     if mapping.turns:
-        listed = F.from_json(payload, f"struct<`{mapping.turns}`: array<struct<`{mapping.role}`: string, `{mapping.text}`: string>>>")
-        return F.transform(listed[mapping.turns], lambda m: _canonical(m[mapping.role], m[mapping.text])).cast(TURNS)
-    fields = F.from_json(payload, "struct<" + ", ".join(f"`{f}`: string" for _, fs in mapping.parts for f in fs) + ">")
+        kinds.append(f"`{mapping.turns}`: array<struct<`{mapping.role}`: string, `{mapping.text}`: string>>")
+    fields = F.from_json(payload, "struct<" + ", ".join(kinds) + ">")
     made = []
     for role, names in mapping.parts:
         texts = F.filter(F.array(*[fields[n] for n in names]), lambda t: F.coalesce(F.length(t), F.lit(0)) > 0)
         made.append((role, F.array_join(texts, "\n\n")))
-    turns = F.array(*[F.struct(F.lit(role).alias("role"), text.alias("text")) for role, text in made])
-    return F.filter(turns, lambda t: (t["role"] != F.lit("system")) | (F.length(t["text"]) > 0)).cast(TURNS)
+    turns = F.array(*[F.struct(F.lit(role).alias("role"), text.alias("text")) for role, text in made]).cast(TURNS)
+    turns = F.filter(turns, lambda t: (t["role"] != F.lit("system")) | (F.length(t["text"]) > 0))
+    if mapping.turns:
+        listed = F.transform(fields[mapping.turns], lambda m: _canonical(m[mapping.role], m[mapping.text])).cast(TURNS)
+        return F.concat(turns, listed)
+    return turns
 
 
 def payload_conversations(df: DataFrame, payload: str) -> DataFrame:

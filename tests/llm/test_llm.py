@@ -110,6 +110,22 @@ def test_chat_layouts(spark):
         chat_format.row_conversations(rows)
 
 
+def test_chat_layouts_with_extra_known_keys(spark):
+    chat = '"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]'
+    said = [("user", "hi"), ("assistant", "yo")]
+    payloads = {
+        '{"instruction": "i", "input": "n", "output": "o", "text": "all of it"}': ("instruction with input", [("user", "i\n\nn"), ("assistant", "o")]),
+        f'{{"prompt": "hi", {chat}}}': ("messages", said),
+        f'{{"system": "s", {chat}, "role": "x"}}': ("system messages", [("system", "s"), *said]),
+        f'{{"system": null, {chat}}}': ("system messages", said),
+        '{"system": "s", "prompt": "p", "completion": "c", "turn": 1}': ("system prompt and completion", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        '{"conv_id": 1, "turn": 1, "role": "user", "text": "x"}': (None, []),
+    }
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, payload string")
+    got = chat_format.payload_conversations(rows, "payload").orderBy("i").collect()
+    assert [(r["layout"], [tuple(t) for t in r["turns"]]) for r in got] == list(payloads.values())
+
+
 def test_chat_query(spark):
     got = {r["conv_id"]: r for r in q.op1_chat_formatting(spark, SF).collect()}
     said = "<|im_end|><|im_start|>assistant ok"
