@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .textcore import release
 
-#: Rows up to which a checked side of a join is broadcast (two longs a row: a few MB).
+#: Rows up to which a checked side of a join is broadcast (a few longs a row: a few MB).
 BROADCAST_ROWS = 200_000
-#: Bytes of an Arrow batch where the session keeps Spark's default; a batch and its copies fit a small worker.
-ARROW_BYTES, _BATCH_SETTING, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Words are runs of characters outside this class.
 WORD = r"[^\x20\x09-\x0D]+"
-DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_PATHS: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,21 +31,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is taken.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        base = known or tempfile.mkdtemp(prefix="factloom-")
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="factloom-")
     return f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut lineage that outlives executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_and_seen(df)[0]
+
+
+def stored_and_seen(df: DataFrame, *seen: Column) -> tuple[DataFrame, Row]:
+    """As ``stored``, with aggregates of the rows that are observed while they are written (their number first)."""
+    spark, path, watch = df.sparkSession, shared_dir(df.sparkSession), Observation()
+    watched = df.observe(watch, F.count(F.lit(1)).alias("rows"), *seen)
+    watched.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = path
+    weakref.finalize(table, _PATHS.pop, id(table), None)
+    return table, Row(**watch.get)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing will read them again.
+
+    Spark removes shuffle files and broadcasts only when the driver collects its garbage, which a driver of
+    many small jobs seldom does; so it is asked to, and holds little besides.
+    """
+    for table in tables:
+        path = _PATHS.get(id(table))
+        if path:
+            jvm = table.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            gc.collect()
+            jvm.System.gc()
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -57,9 +83,6 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         finally:
             release()
 
-    settings = df.sparkSession.conf
-    if settings.get(_BATCH_SETTING) == _BATCH_DEFAULT:
-        settings.set(_BATCH_SETTING, ARROW_BYTES)
     return df.mapInArrow(tidy, schema)
 
 
@@ -72,9 +95,15 @@ def dealt_anew(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(1)).bitwiseXOR(F.lit(1))
 
 
+def small(table: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table of a known number of rows for broadcast if that is small; leave it as it is beyond."""
+    return F.broadcast(table) if rows <= limit else table
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if counting up to ``limit`` proves it small; leave it as it is beyond."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df``, written once and counted on the way, marked for broadcast if it proves small."""
+    table, seen = stored_and_seen(df)
+    return small(table, seen["rows"], limit)
 
 
 def residue(column: str | Column) -> Column:
@@ -85,15 +114,17 @@ def residue(column: str | Column) -> Column:
 
 def without_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in ``gone`` (one column); all columns and null ids stay."""
-    ids = gone.toDF("__gone_id").distinct()
-    return docs.join(checked_broadcast(ids), docs[key] == F.col("__gone_id"), "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"  # no column of the documents has it
+    ids = gone.toDF(name).distinct()
+    return docs.join(checked_broadcast(ids), docs[key] == F.col(name), "left_anti")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """``rank, fold, y, text`` and ``extra`` columns of at most ``bound`` labelled texts outside the held-out fold.
 
-    The bounded sample is that of the smallest hashes of the id, so it does not depend on the layout;
-    its ids are few enough to be broadcast.
+    The sample is that of the smallest hashes of the id, one row for each id: of rows that share an id the
+    one whose text (then ``extra``) is least, whatever the layout.  An id is positive if any label of it is.
+    The ids are few enough to be broadcast, and rows number ``bound`` at most.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (residue("doc_id") != 2))
@@ -103,9 +134,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, extra:
         .limit(bound)
     )
     slim = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", *extra)
+    row = F.struct("text", *extra)
+    one = slim.join(F.broadcast(ids), F.col("__doc") == F.col("__label_id")).groupBy("__doc", "__y").agg(F.min(row).alias("__row"))
     fold = F.pmod(F.xxhash64("__doc", F.lit(7)), F.lit(2)).cast("int").alias("fold")
     y = (F.col("__y") > 0).cast("int").alias("y")
-    return slim.join(F.broadcast(ids), F.col("__doc") == F.col("__label_id")).select(fold, y, "text", F.xxhash64("__doc").alias("rank"), *extra)
+    return one.select(fold, y, F.col("__row.text").alias("text"), F.xxhash64("__doc").alias("rank"), *[F.col(f"__row.{c}").alias(c) for c in extra])
 
 
 def filtered(docs: DataFrame, text: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
