@@ -2,42 +2,63 @@
 
 An item is the set of its distinct 5-word shingles (fewer words: the whole sequence as one shingle of
 its own length).  A document contains it if at least ``THRESHOLD`` of them occur in the document.
-The search is MinHash containment, partitioned by item size: an item of ``n`` shingles keeps the
-``n - ceil(THRESHOLD * n) + 1`` smallest hashes of its set as sketch, so a document that contains the
-item always shares a sketch value, and the sketch grows with the size class only.  Candidates are then
-verified by the exact number of shared shingles.
+The search is MinHash containment over partitions by item size: class ``c`` holds the items of ``2**c`` to
+``2**(c+1) - 1`` shingles, and its items keep as many of their smallest hashes as sketch as lets the
+largest item of the class miss ``1 - THRESHOLD`` of its shingles and one more.  So a document that contains an
+item always shares a sketch value with it, and long items pay for long sketches alone.  Candidates are
+verified by the exact number of shared shingles: the wanted shingles of a document's own candidates meet
+those of the document, under keys that hold the document's id, so a common shingle multiplies nothing.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]`` of the lower-cased text.  Everything is built-in
-functions.  Items or documents that are null or have no words match nothing; null ids are left out;
-rows with the same document id count as one document and repeated items with the same id as one item.
-Extra columns are not read.  Sketch and candidates are broadcast only below a checked number of rows.
+functions.  A text is split once, and long ones are cut into overlapping stretches of ``STRETCH`` words
+before windows are formed.  Items or documents that are null or have no words match nothing; null ids are
+left out; rows with the same document id count as one document, repeated items and texts with the same
+item id as one item.  Empty tables, of documents or of items, give an empty result.  Pairs at exactly the
+threshold count.  Extra columns, whatever their names, are not read.  Sketch and candidates are broadcast
+only below a counted number of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stored
+from .common import checked_broadcast, discard, small, stored, stored_and_seen
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Words of a stretch; windows are formed stretch by stretch, which bounds their memory.
+STRETCH = 8192
 _BLANK = " \t\n\x0b\f\r"
+_NO_WORDS = "array<string>"
 
 
 def word_array(text: Column) -> Column:
     """Words of a text; null and blank texts have none."""
     trimmed = F.lower(F.btrim(text, F.lit(_BLANK)))
-    none = F.array().cast("array<string>")
-    return F.when(F.length(F.coalesce(trimmed, F.lit(""))) == 0, none).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    return F.when(F.length(F.coalesce(trimmed, F.lit(""))) == 0, F.array().cast(_NO_WORDS)).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def shingle_hashes(words: str, k: int) -> Column:
-    """Hashes of all windows of ``k`` words of an array column; none if it is shorter."""
+def shingle_hashes(words: str, k: int, count: Column | None = None) -> Column:
+    """Hashes of the windows of ``k`` words that begin in the first ``count`` words of an array; none if it is shorter."""
     w = F.col(words)
-    at = F.sequence(F.lit(0), F.size(w) - F.lit(k))
+    last = F.size(w) - F.lit(k)
+    at = F.sequence(F.lit(0), last if count is None else F.least(last, count - 1))
     windows = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + F.lit(j)) for j in range(k)]))
-    return F.when(F.size(w) >= k, windows).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 0, windows).otherwise(F.array().cast("array<bigint>"))
+
+
+def size_class(n: Column) -> Column:
+    """The size partition of an item of ``n`` shingles."""
+    return F.floor(F.log2(n.cast("double")) + F.lit(1e-9)).cast("int")
+
+
+def sketch_size(n: Column, threshold: float) -> Column:
+    """Hashes that an item of ``n`` shingles keeps: what its class's largest item may miss, and one more."""
+    largest = F.pow(F.lit(2.0), size_class(n) + 1) - 1
+    return F.least(n, F.floor(largest * F.lit(1 - threshold) + F.lit(1e-9)) + 1).cast("int")
 
 
 def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -52,34 +73,37 @@ def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(counts, "item_id")
 
 
-def _exploded(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """``doc_id, k, h`` (and what else the rows carry) of every shingle of the wanted lengths."""
-    kept = [c for c in docs.columns if c != "w"]
-    out = None
-    for k in lengths:
-        one = docs.select(*kept, F.lit(k).alias("k"), F.explode(shingle_hashes("w", k)).alias("h"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _with_length(k: int) -> Callable[[Column], Column]:
+    return lambda h: F.struct(F.lit(k).alias("k"), h.alias("h"))
+
+
+def document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``doc_id, k, h`` of every window of the wanted lengths of ``doc_id, w``; one split, one pass."""
+    longest = max(lengths)
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))
+    cut = F.transform(starts, lambda a: F.slice("w", a + 1, F.lit(STRETCH + longest - 1)))
+    stretches = docs.select("doc_id", F.explode(F.when(F.size("w") <= STRETCH, F.array("w")).otherwise(cut)).alias("w"))
+    # windows belong to the stretch they begin in
+    parts = [F.transform(shingle_hashes("w", k, F.lit(STRETCH)), _with_length(k)) for k in lengths]
+    return stretches.select("doc_id", F.explode(F.concat(*parts)).alias("s")).select("doc_id", "s.k", "s.h")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment`` of every contained item."""
-    shingles = item_shingles(items, shingle)
-    lengths = sorted(r[0] for r in shingles.select("k").distinct().collect())  # at most ``shingle`` values
-    need = F.ceil(F.lit(threshold) * F.col("n_item") - F.lit(1e-9)).cast("long")
-    # the sketch: as many of the smallest hashes as leave less than ``need`` outside
+    shingles, found = stored_and_seen(item_shingles(items, shingle), F.collect_set("k").alias("lengths"))  # at most ``shingle`` lengths
+    lengths = sorted(found["lengths"] or [])
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long, containment double")
     ranked = shingles.groupBy("item_id", "k", "n_item").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    sketch = ranked.select("item_id", "k", F.explode(F.slice("hs", F.lit(1), (F.col("n_item") - need + 1).cast("int"))).alias("h"))
+    sketch = ranked.select("item_id", "k", F.explode(F.slice("hs", F.lit(1), sketch_size(F.col("n_item"), threshold))).alias("h"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_array(F.col("text")).alias("w")).where("doc_id is not null and size(w) > 0")
-    schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
-    if not lengths:
-        return docs.sparkSession.createDataFrame([], schema)
-    found = _exploded(slim, lengths).join(checked_broadcast(sketch), ["k", "h"]).select("doc_id", "item_id").distinct()
-    pairs = stored(found)
-    own = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")).withColumnRenamed("doc_id", "__doc")
-    again = slim.join(checked_broadcast(own), F.col("doc_id") == F.col("__doc")).drop("__doc")
-    all_shingles = checked_broadcast(shingles)
-    hits = _exploded(again, lengths).join(all_shingles, ["k", "h"]).where(F.array_contains("items", F.col("item_id")))
-    counted = hits.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("h").alias("n_shared"))
-    share = F.col("n_shared") / F.col("n_item")
-    return counted.where(F.col("n_shared") >= need).select("doc_id", "item_id", "n_shared", "n_item", share.alias("containment"))
+    met = document_shingles(slim, lengths).join(checked_broadcast(sketch), ["k", "h"])
+    pairs, seen = stored_and_seen(met.select("doc_id", "item_id").distinct())
+    wanted = small(pairs, seen["rows"]).join(small(shingles, found["rows"]), "item_id")
+    ids = checked_broadcast(pairs.select(F.col("doc_id").alias("__doc")).distinct())
+    have = document_shingles(slim.join(ids, F.col("doc_id") == F.col("__doc"), "left_semi"), lengths).distinct()
+    counted = stored(wanted.join(have, ["doc_id", "k", "h"]).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared")))
+    discard(shingles, pairs)
+    need = F.ceil(F.lit(threshold) * F.col("n_item") - F.lit(1e-9))
+    share = (F.col("n_shared") / F.col("n_item")).alias("containment")
+    return counted.where(F.col("n_shared") >= need).select("doc_id", "item_id", "n_shared", "n_item", share)
