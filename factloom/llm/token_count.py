@@ -1,19 +1,24 @@
 """Token counts: exact lengths of encoded texts, counted in Arrow batches.
 
-Only lengths leave the function.  Texts are cut at spaces, which no token, special string or
-normalisation step of the tokenizer crosses, so a text's count is the sum over its pieces; equal
-pieces are encoded once while they stay in a bounded memo.  Pieces gather into batches of about equal
-bytes before they are encoded, and a long text is handled in slices that end at a space, so memory is
-bounded by the slice, the memo and the longest run without a space.
-
-Null and empty texts have 0 bytes and 0 tokens; null ids, repeated rows and extra columns pass
-unharmed (only ``doc_id`` and ``text`` are read; one row out for each row in).
+Only lengths leave the function.  Texts are cut at white space, where the tokenizer is proved to begin
+anew: a white-space character is a safe boundary if, for a set of probe strings around it, the counts of
+both sides add up to the count of the whole; with none, texts are encoded whole.  Runs without white space
+that are longer than a slice are cut between a sentence mark and an ideograph or kana, if that is as safe.
+A text's count is the sum over its pieces; equal pieces are encoded once while they stay in a memo of
+bounded bytes.  Pieces gather into batches of about equal bytes before they are encoded, and a long text
+is handled in slices, so memory is bounded by the slice, the memo and the longest run without a boundary.
+
+Null and empty texts have 0 bytes and 0 tokens; null ids, repeated rows and extra columns, whatever their
+names, pass unharmed: only ``doc_id`` and ``text`` are read, one row out for each row in, none for an
+empty table.  A text of exactly the limit is not over it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +28,57 @@ from .common import mapped
 
 BATCH_BYTES = 1 << 20
 SLICE_CHARS = 1 << 18
-MEMO_PIECES = 400_000
-_LOADED: dict[str, object] = {}
-
-
-def _tokenizer(path: str):
+MEMO_BYTES = 48 << 20
+#: What an entry of the memo takes besides its piece.
+ENTRY_BYTES = 120
+_SPACES = " \n\t\r\x0b\x0c"
+#: Sentence marks, each before an ideograph or kana.
+_MARK = re.compile("(?<=[\u3002\uff01\uff1f\uff0c\uff1b\uff1a\u3001])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])")
+_PROBES = ("a", "word", "A1", "it's", "'s", "x.", "...", "<|", "|>", "end<", "é", "e\u0301", "\u0301", "ß", "日本", "の", "が", "한", "✓", "👍🏽", "1,5", "_a", "ΑΣ", "Σ", "İ", "\u200d", "\ufeff", "ab  c")
+_LOADED: dict[str, Counter] = {}
+
+
+@dataclass
+class Counter:
+    """A tokenizer with its safe boundaries and a memo of piece lengths."""
+
+    tokenizer: object
+    spaces: str = ""
+    marks: bool = False
+    memo: dict[str, int] = field(default_factory=dict)
+    held: int = 0
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        """Encoded lengths of texts as they are."""
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [len(x) for x in encode(texts, add_special_tokens=False)]
+
+    def safe(self, joint: str, lefts: tuple[str, ...], rights: tuple[str, ...]) -> bool:
+        """Whether counts add up over a joint for all probes."""
+        pairs = [(a, b) for a in lefts for b in rights]
+        whole = self.lengths([a + joint + b for a, b in pairs])
+        left, right = (dict(zip(p, self.lengths(list(p)), strict=True)) for p in (lefts, rights))
+        return whole == [left[a] + right[b] for a, b in pairs]
+
+    def learn(self, pieces: set[str], batch_bytes: int) -> None:
+        """Encode pieces in batches of about equal bytes."""
+        batch, size = [], 0
+        for piece in pieces:
+            batch.append(piece)
+            size += _bytes(piece)
+            if size >= batch_bytes:
+                self.memo.update(zip(batch, self.lengths(batch), strict=True))
+                self.held, batch, size = self.held + size + ENTRY_BYTES * len(batch), [], 0
+        self.memo.update(zip(batch, self.lengths(batch), strict=True))
+        self.held += size + ENTRY_BYTES * len(batch)
+
+
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def counter(path: str) -> Counter:
+    """The tokenizer of a file, loaded once a worker, with what is safe to cut at."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -35,58 +86,50 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _LOADED[path] = (tokenizer, {})
+        made = Counter(tokenizer)
+        made.spaces = "".join(c for c in _SPACES if made.safe(c, _PROBES, _PROBES))
+        made.marks = all(made.safe("", tuple(x + m for x in ("a", "日", "の", "。")), ("日", "の", "ガ", "か\u3099")) for m in "。！？，；：、")
+        _LOADED[path] = made
     return _LOADED[path]
 
 
-def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
-    """Slices of a text that end at a space; a run without spaces is never cut."""
-    at = 0
+def slices(text: str, spaces: str = " ", marks: bool = False, size: int = SLICE_CHARS) -> Iterator[str]:
+    """Slices of a text that end at a safe boundary; a run without one is never cut."""
+    if len(text) <= size or not (spaces or marks):
+        if text:
+            yield text
+        return
+    bounds = [re.escape(c) for c in spaces] + ([_MARK.pattern] if marks else [])
+    boundary, at = re.compile("|".join(bounds)), 0
     while at < len(text):
-        end = len(text) if len(text) - at <= size else text.find(" ", at + size)
-        end = len(text) if end < 0 else end
+        met = boundary.search(text, at + size) if len(text) - at > size else None
+        end = met.start() if met else len(text)
         yield text[at:end]
-        at = end + 1 if end < len(text) else end
-
-
-def _encode_missing(tokenizer, memo: dict[str, int], missing: set[str], batch_bytes: int) -> None:
-    batch, held = [], 0
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-
-    def flush() -> None:
-        for piece, code in zip(batch, encode(batch, add_special_tokens=False), strict=True):
-            memo[piece] = len(code)
-        batch.clear()
-
-    for piece in missing:
-        batch.append(piece)
-        held += len(piece)
-        if held >= batch_bytes:
-            flush()
-            held = 0
-    flush()
+        at = max(met.end(), at + 1) if met else end
 
 
 def count_tokens(texts: list[str | None], path: str, batch_bytes: int = BATCH_BYTES) -> list[int]:
     """Token counts of whole texts, as the library gives them without begin and end tokens."""
-    tokenizer, memo = _tokenizer(path)
+    known = counter(path)
     counts: list[int] = [0] * len(texts)
     waiting: list[tuple[int, list[str]]] = []
     held = 0
 
     def settle() -> None:
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        missing = {p for _, parts in waiting for p in parts if p not in memo}
-        _encode_missing(tokenizer, memo, missing, batch_bytes)
+        if known.held > MEMO_BYTES:
+            known.memo.clear()
+            known.held = 0
+        known.learn({p for _, parts in waiting for p in parts if p not in known.memo}, batch_bytes)
         for i, parts in waiting:
-            counts[i] += sum(map(memo.__getitem__, parts))
+            counts[i] += sum(map(known.memo.__getitem__, parts))
         waiting.clear()
 
     for i, text in enumerate(texts):
-        for part in slices(text or ""):
-            waiting.append((i, part.split(" ")))
-            held += len(part)
+        for part in slices(text or "", known.spaces, known.marks):
+            held += _bytes(part)
+            for c in known.spaces[1:]:
+                part = part.replace(c, known.spaces[0])
+            waiting.append((i, part.split(known.spaces[0]) if known.spaces else [part]))
             if held >= batch_bytes:
                 settle()
                 held = 0
