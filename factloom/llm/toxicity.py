@@ -4,16 +4,20 @@ Training counts, over labelled texts of the learning fold, how often each word a
 occurs in toxic and in clean texts.  The two classes share a Dirichlet prior at every level: a prefix
 is shrunk towards its shorter prefix and a word towards its longest prefix, so a word that was never
 seen still gets the log-odds of its stem.  Counts are summed by Spark into a hashed table of fixed
-size (``BUCKETS`` a level); nothing else of the corpus reaches the driver.
+size (``BUCKETS`` a level); besides it the driver gets four numbers for each of the at most
+``LABELLED_ROWS`` labelled texts.
 
 Scoring turns a text into a sequence of token log-odds less a drift that makes the expected step
 negative, finds all maximal scoring segments in one linear scan, and keeps those whose extreme-value
 tail probability, ``1 - exp(-K n exp(-lambda s))``, is significant.  The calibrated statistic of the
 best and of all significant segments goes through a logistic fit on cross-fitted training scores.
+``DRIFT``, ``CEILING`` and ``PRIOR`` were chosen by log-loss over two folds of learning rows alone.
 
 Null and empty texts have no segments and get the score of such texts.  Null labels are not learnt
-from; with one class or no labels at all every text scores the base rate.  Repeated rows count
-repeatedly; null ids and extra columns pass unharmed: one row out for each row in.
+from; with one class or no labels at all every text scores the base rate.  Of rows that share an id one
+is learnt from; every row is scored alike, repeated ones too.  Segments of equal score are all kept.  A
+very long text is one sequence and takes memory in proportion to its words.  Null ids and extra columns,
+whatever their names, pass unharmed: one row out for each row in, none for an empty table.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import filtered, labelled, mapped, residue
+from .common import discard, filtered, labelled, mapped, residue, stored
 
 BUCKETS = 1 << 19
 PREFIX_BYTES = (3, 5, 7)
 PRIOR = 8.0
-DRIFT = 0.7
+DRIFT = 1.0
 CEILING = 4.0
 SIGNIFICANT = 0.05
 SIZE = 0.1
@@ -171,47 +175,54 @@ def _cross_fitted(counts: np.ndarray, fold: np.ndarray, levels: list[np.ndarray]
     return steps
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Classes, cross-fitted steps and where the steps of each text begin, of labelled batches piece by piece."""
+    for batch in batches:
+        fold, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        data, offsets = tc.utf8(batch.column(2))
+        for i, j in tc.pieces(offsets):
+            levels, doc, _, _ = units(*tc.text_slice(data, offsets, i, j))
+            steps = _cross_fitted(counts, fold[i:j][doc], levels)
+            yield y[i:j], steps, np.searchsorted(doc, np.arange(j - i + 1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = LABELLED_ROWS) -> Model:
     """Learn the counts, the extreme-value scale and the calibration."""
-    rows = labelled(docs, labels, label, bound)
+    rows = stored(labelled(docs, labels, label, bound))
     cells = mapped(rows, _count, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     counts = np.zeros((2, 2, LEVELS, BUCKETS), np.float32)
     counts.reshape(-1)[cells.column("cell").to_numpy()] = cells.column("times").to_numpy()
     counts = np.ascontiguousarray(counts.transpose(0, 2, 1, 3))  # fold, level, class, bucket
     both = counts.sum(0)
+    del cells
     if not both[0, 0].sum() or not both[0, 1].sum():
+        discard(rows)
         return Model(both, 1.0, np.array([30.0 if both[0, 1].sum() else -30.0, 0.0, 0.0, 0.0]))
     used = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            data, offsets = tc.utf8(batch.column(2))
-            for i, j in tc.pieces(offsets):
-                levels, doc, _, _ = units(*tc.text_slice(data, offsets, i, j))
-                steps = _cross_fitted(used.value, fold[i:j][doc], levels)
-                edge = np.searchsorted(doc, np.arange(j - i + 1))
-                clean = steps[y[i:j][doc] == 0]
-                bins = np.bincount(np.clip((clean - STEP_BINS[0]) / STEP_WIDTH, 0, len(STEP_BINS) - 1).astype(int), minlength=len(STEP_BINS))
-                scores = [[v for _, _, v in segments(steps[edge[k] : edge[k + 1]])] for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([-1, *y[i:j].tolist()], pa.int64()),
-                        pa.array([0, *np.diff(edge).tolist()], pa.int64()),
-                        pa.array([bins.tolist(), *scores], pa.list_(pa.float64())),
-                    ],
-                    ["y", "n", "scores"],
-                )
-
-    seen = mapped(rows, cross, "y long, n long, scores array<double>").toArrow()
-    kind, n = (np.concatenate([c.to_numpy() for c in seen.column(k).chunks] or [np.zeros(0, np.int64)]) for k in ("y", "n"))
-    scores = [x.values.to_numpy() for x in seen.column("scores")]
-    bins = sum((s for k, s in zip(kind, scores, strict=True) if k < 0), np.zeros(len(STEP_BINS)))
+    def clean_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, steps, edge in _pieces(batches, used.value):
+            clean = steps[np.repeat(y, np.diff(edge)) == 0]
+            bins = np.clip((clean - STEP_BINS[0]) / STEP_WIDTH, 0, len(STEP_BINS) - 1).astype(int)
+            found, times = np.unique(bins, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["bin", "times"])
+
+    bins = np.zeros(len(STEP_BINS))
+    for r in mapped(rows, clean_steps, "bin long, times long").groupBy("bin").agg(F.sum("times").alias("times")).collect():  # a row a bin
+        bins[r["bin"]] = r["times"]
     scale = evd_scale(STEP_BINS, bins)
-    x = np.array([statistics(s.tolist(), int(m), scale) for k, m, s in zip(kind, n, scores, strict=True) if k >= 0])
-    weights = logistic(x, kind[kind >= 0].astype(float))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, steps, edge in _pieces(batches, used.value):
+            found = [statistics([v for _, _, v in segments(steps[a:b])], int(b - a), scale) for a, b in zip(edge, edge[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), *(pa.array(c, pa.float64()) for c in np.array(found).reshape(-1, 3).T)], ["y", "best", "strong", "dense"])
+
+    seen = mapped(rows, measured, "y long, best double, strong double, dense double").orderBy("y", "best", "strong", "dense").toArrow()
+    x = np.column_stack([seen.column(k).to_numpy() for k in ("best", "strong", "dense")])
+    weights = logistic(x, seen.column("y").to_numpy().astype(float))
     used.unpersist()
-    del counts, cells, seen, scores, x
+    discard(rows)
+    del counts, seen, x
     tc.release()
     return Model(both, scale, weights)
 
