@@ -7,9 +7,15 @@ linear time as half of ``(sum v x)**2 - sum (v x)**2`` for each factor.  The mac
 mini-batch AdaGrad on a bounded sample of labelled rows (``LABELLED_ROWS``, the smallest hashes of the
 id outside the held-out fold); scoring reads every row.
 
+At most ``LABELLED_ROWS`` texts, so at most that many times ``BUCKETS`` entries, reach the driver.  Training
+is in a fixed order of a fixed seed over rows in order of their id's hash, one row for each id, so the
+same rows in any layout give the same machine.
+
 Null texts are empty; an empty text has its measures alone and gets a score as well.  A null
-``n_chars`` falls back to the text's length.  With no labels every score is 0.5.  Null ids, repeated
-rows and extra columns pass unharmed: one row out for each row in.
+``n_chars``, or none at all, falls back to the text's length.  With no labels every score is 0.5.  Very long
+texts are measured alone, in memory in proportion to their words.  Null ids, repeated rows and extra
+columns, whatever their names, pass unharmed: one row out for each row in, none for an empty table; equal
+texts of equal ``n_chars`` score alike.
 """
 
 from __future__ import annotations
@@ -173,7 +179,8 @@ def _columns(batch: pa.RecordBatch, text: int, length: int) -> tuple[np.ndarray,
 
 def _known_length(docs: DataFrame) -> DataFrame:
     size = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.withColumn("__n_chars", F.greatest(F.coalesce(size, F.char_length("text").cast("double"), F.lit(0.0)), F.lit(0.0)))
+    known = F.greatest(F.coalesce(size, F.char_length("text").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return docs.select("doc_id", "text", known.alias("__n_chars"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = LABELLED_ROWS) -> Machine | None:

@@ -6,8 +6,10 @@ earlier line, decides.  Longer n-grams are only looked for where every shorter o
 texts cost one sort.
 
 A null text has no words.  Fewer words than ``MIN_WORDS``, or more than half of the words inside
-repeated 3-word windows, fails the base rules (so an empty text is rejected).  Null ids, repeated rows
-and extra columns pass unharmed: only ``doc_id`` and ``text`` are read, one row out for each row in.
+repeated 3-word windows, fails the base rules (so an empty text is rejected).  A share that equals its
+limit passes.  A very long text is one piece and takes memory in proportion to its words.  Null ids,
+repeated rows and extra columns, whatever their names, pass unharmed: only ``doc_id`` and ``text`` are read,
+one row out for each row in, none for an empty table.
 """
 
 from __future__ import annotations
