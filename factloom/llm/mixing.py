@@ -10,8 +10,10 @@ sums are accumulated, and a window adds up inside each partition.  No source, ho
 one task.
 
 Null texts have size 0 and are never taken; null sources form one source, ordered last; documents
-with a null id are queued first.  Rows with the same id, source and size are interchangeable.  Extra
-columns are not read.  An empty table gives an empty result.
+with a null id are queued first.  Rows with the same id, source and size are interchangeable; each has a
+number of its own, written with it, so that however many there are they can be sorted into several tasks.
+Documents of size 0 are not queued.  Only the size of a text, however long, leaves the first pass.  Extra
+columns, whatever their names, are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,25 +71,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of every document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    slim = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("__row")))
     goals, budget = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies)
-    shuffled = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    order = [F.col("source").asc_nulls_last(), F.col("__shuffled"), F.col("doc_id"), F.col("size")]
-    queued = running_total(slim.withColumn("__shuffled", shuffled), order, __running="size")
     known = goals.withColumnRenamed("source", "__source")
+    shuffled = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    order = [F.col("source").asc_nulls_last(), F.col("__shuffled"), F.col("doc_id"), F.col("size"), F.col("__row")]
+    queued = running_total(slim.where("size > 0").withColumn("__shuffled", shuffled), order, __running="size")
     queued = queued.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     cumulative = F.col("__running") - (F.col("source_end") - F.col("source_size"))
     entries = (
         queued.withColumn("__cumulative", cumulative)
         .withColumn("__pass", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        .withColumn("__finish", F.when(F.col("target") > 0, (F.col("__cumulative") + F.col("__pass") * F.col("source_size")) / F.col("target")).otherwise(F.lit(float("inf"))))
+        .withColumn("__finish", (F.col("__cumulative") + F.col("__pass") * F.col("source_size")) / F.col("target"))
     )
     keys = ["doc_id", "source", "size", "source_size", "target", "__running"]
-    line = [F.col("__finish"), F.col("source").asc_nulls_last(), F.col("__running"), F.col("doc_id"), F.col("__pass")]
+    line = [F.col("__finish"), F.col("source").asc_nulls_last(), F.col("__running"), F.col("__pass")]
     served = running_total(entries.select(*keys, "__finish", "__pass"), line, __total="size")
     taken = F.sum(F.when(F.col("__total") <= F.lit(budget), F.col("size")).otherwise(F.lit(0)))
-    per_row = F.sum(F.when(F.col("__pass") == 0, F.lit(1)).otherwise(F.lit(0))).alias("__rows")
-    # rows that share all keys were queued one after the other: none has a size above 0
-    merged = served.groupBy(*keys).agg(taken.alias("taken"), per_row)
-    spread = merged.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rows"))))
-    return spread.select("doc_id", "source", "size", "source_size", "target", "taken")
+    merged = served.groupBy(*keys).agg(taken.alias("taken"))  # running totals of sizes above 0 differ
+    empty = slim.where("size = 0").join(known, F.col("source").eqNullSafe(F.col("__source")))
+    none = empty.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return merged.select("doc_id", "source", "size", "source_size", "target", "taken").unionByName(none)
