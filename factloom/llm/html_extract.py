@@ -2,24 +2,31 @@
 
 The standard-library parser feeds a block builder: a block is the text between two block boundaries,
 with white space folded.  Each block is a line with a text-to-tag ratio; the ratios are smoothed with a
-Gaussian along the page and clustered by a threshold, which selects the content regions.  Blocks inside
-structural boilerplate (navigation, page headers, footers, sidebars, forms, adverts, notices, reader
-comments, hidden elements) never count as text.  A marked article that holds a selected line, or any line that
-is neither a heading nor mostly links, is a region and is kept whole; on pages that mark none, the region
-spans from the first to the last selected line and grows over the adjoining blocks of its containers that
-are not mostly links and the headings that lead into it, without blocks of links in containers that hold
-no selected line.
+Gaussian along the page and clustered by a threshold, their standard deviation, which selects the content
+regions.  Blocks inside structural boilerplate (navigation, page headers, footers, asides, forms, hidden
+elements, what is no text) never count.  A class, id or role that names boilerplate only lowers the ratio of
+the blocks inside it, by ``WEAK`` or ``STRONG`` for each such element; they are kept if the ratio that is
+left still reaches the threshold and ``KEPT_SHARE`` of what unmarked selected lines have on average.
+
+Where the selected text lies mostly in marked-up articles, the region is those articles that hold a
+selected line, or a line that is neither a heading nor mostly links.  Elsewhere, also where an article is
+but a teaser (its lines then count only by their own ratio), the region spans from the first to the last selected line and grows over the adjoining blocks
+of its containers that are not mostly links and the headings that lead into it, without blocks of links in
+containers that hold no selected line.  Short blocks of a region are kept whatever their ratio.
 
 Null or empty html gives an empty text; broken markup is read to its end, a ``<![`` as a comment up to
-the next ``>``, as browsers do.  Null ids, repeated rows and extra columns pass
-unharmed: one row out for each row in.
+the next ``>``, and start tags end open elements whose end tag is optional, as browsers do.  A very long
+page is read whole, in memory in proportion to it.  Lines of equal ratio are treated alike.  Null ids,
+repeated rows and extra columns, whatever their names, pass unharmed; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +38,7 @@ from .common import mapped
 SIGMA = 1.0
 RADIUS = 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("nav footer aside form script style noscript template button select textarea svg iframe head title menu dialog object canvas audio video math datalist option label".split())
+SKIP = frozenset("nav footer aside form script style noscript template button select textarea svg iframe head title menu dialog object canvas audio video datalist option".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split()
 )
@@ -49,14 +56,19 @@ IMPLIED = [
     (frozenset({"tr"}), frozenset({"tr"}), _TABLE_PARTS | {"table", "template"}),
     (_TABLE_PARTS, _TABLE_PARTS, frozenset({"table", "template"})),
 ]
-#: Parts of class, id or role that name boilerplate.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar aside rail footer masthead topbar banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond responses discussion reply replies related recommended recommendations widget widgets toolbar pagination pager skip contentinfo complementary search crumbs dialog toast paywall lightbox copyright disclaimer legal adsbygoogle".split()
+#: Parts of a class, id or role that name boilerplate, and those that may as well name a subject of the text.
+STRONG_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsored promo promos promotion nav navbar navigation navi menu menus menubar submenu breadcrumb breadcrumbs crumbs sidebar footer masthead topbar banner banners cookie cookies consent gdpr notice notices popup popups modal newsletter subscribe subscription signup login comment comments commentlist commentform commentbox disqus pagination pager paywall contentinfo complementary lightbox toolbar".split()
+)
+WEAK_MARKS = frozenset("social share sharing related recommended recommendations respond response responses reply replies discussion alert overlay toast rail aside widget widgets search skip dialog copyright disclaimer legal".split())
+#: Parts that stand beside the former in compound names.
+FILLERS = frozenset(
+    "site main page global top bottom left right box block container wrapper wrap list item items area section bar panel link links form inner outer content post posts article articles story stories js l c m wp id primary secondary latest recent popular more header head title body unit slot space text row col column group buttons button icon icons user reader entry mobile desktop sticky fixed full side center".split()
 )
-#: Beginnings of such parts.
-MARK_STEMS = ("comment", "sidebar", "navbar", "advert", "sponsor", "cookie", "newsletter", "footer", "breadcrumb", "popup", "promo", "subscri")
 #: Parts that make a "header" the head of the article itself.
-OWN = frozenset("article post entry content story main body text".split())
+OWN = frozenset(("article", "post", "entry", "content", "story", "main", "body", "text"))
+#: What a mark leaves of a ratio, and the share of the average selected line that must be left.
+STRONG, WEAK, KEPT_SHARE = 0.1, 0.8, 0.35
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 #: Numeric references beyond the digits that int() takes; no code point needs as many.
@@ -68,54 +80,81 @@ def _shortened(reference: re.Match[str]) -> str:
     return "&#" + (reference[0][2:].lstrip("0") or "0")[:8]
 
 
-def is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether the attributes name a boilerplate or hidden element."""
+@lru_cache(maxsize=4096)
+def mark(names: str) -> float:
+    """What the names of a class, id or role leave of a ratio: 1, or less if one of them names boilerplate.
+
+    A name counts if its last part is a strong mark, or if it is made of marks and fillers alone.
+    """
+    left = 1.0
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.split(name) if p]
+        marks = STRONG_MARKS.intersection(parts)
+        if "header" in parts and not OWN.intersection(parts) or "side" in parts and "bar" in parts:
+            left = min(left, STRONG)
+        elif marks and (parts[-1] in marks or all(p in marks or p in WEAK_MARKS or p in FILLERS for p in parts)):
+            left = min(left, STRONG)
+        elif WEAK_MARKS.intersection(parts) and all(p in WEAK_MARKS or p in FILLERS for p in parts):
+            left = min(left, WEAK)
+    return left
+
+
+def judged(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+    """What an element leaves of the ratios inside it: 0 if it is hidden, less than 1 if it is marked."""
+    left = 1.0
     for name, value in attrs:
         if name == "hidden":
-            return True
+            return 0.0
         if not value:
             continue
-        if name in ("class", "id", "role"):
-            lowered = {p.lower() for p in _PARTS.split(value)}
-            if lowered & MARKS or "side" in lowered and "bar" in lowered or any(x.startswith(MARK_STEMS) for x in lowered):
-                return True
-            if "header" in lowered and not lowered & OWN:
-                return True
+        if name == "class" or name == "role" or name == "id" and tag not in HEADINGS:  # the id of a heading is its anchor
+            left = min(left, mark(value))
         elif name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return 0.0
+    return left
+
+
+class Line(NamedTuple):
+    """A block: its text, the tags before it, what marks leave of its ratio, the number of its outermost article or 0."""
+
+    text: str
+    tags: int
+    left: float
+    article: int
+    heading: bool
+    container: int
+    links: bool
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, skipped, number of the outermost article or 0, heading, container, mostly links) for every block."""
+    """Collects a line for every block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, int, bool, int, bool, int, bool]] = []
-        self.open: list[tuple[str, bool]] = []  # container tags and whether they start a skipped part
-        self.skips = self.articles = self.article = 0
+        self.found: list[Line] = []
+        self.open: list[tuple[str, float]] = []  # container tags and what was left of ratios before they began
+        self.left = 1.0
+        self.articles = self.article = 0
         self.held: list[str] = []
         self.tags = 0
         self.heading = False
         self.container = self.anchors = self.linked = 0
         self.inner: list[int] = [0]
-        self.doubtful: set[int] = set()  # articles whose own marks name boilerplate
 
     def end_block(self) -> None:
         if self.held:
             text = _SPACE.sub(" ", "".join(self.held)).strip()
             self.held.clear()
             if text:
-                self.found.append((text, self.tags, self.skips > 0, self.article if self.articles else 0, self.heading, self.inner[-1], 2 * self.linked > len(text)))
+                self.found.append(Line(text, self.tags, self.left, self.article if self.articles else 0, self.heading, self.inner[-1], 2 * self.linked > len(text)))
                 self.tags = 0
             self.linked = 0
 
     def close_from(self, k: int) -> None:
         """Close the open elements from the ``k``-th on."""
         self.end_block()
-        for name, skip in self.open[k:]:
-            self.skips -= skip
-            self.articles -= name in ("article", "main")
+        self.left = self.open[k][1]
+        self.articles -= sum(name in ("article", "main") for name, _ in self.open[k:])
         del self.open[k:], self.inner[k + 1 :]
 
     def close_implied(self, tag: str) -> None:
@@ -142,21 +181,17 @@ class Blocks(HTMLParser):
         self.anchors += tag == "a"
         if tag in VOID:
             return
-        marked = bool(attrs) and tag not in ("html", "body", "article", "main") and is_boilerplate(attrs)
-        if tag in CONTAINER or marked:
-            skip = marked or tag in SKIP or (tag == "header" and not self.articles)
-            if tag == "article" and self.articles and attrs and is_boilerplate(attrs):
-                skip = True
-            if skip:
+        left = judged(tag, attrs) if attrs and tag not in ("html", "body") else 1.0
+        if tag in CONTAINER or left < 1:
+            if tag in SKIP or tag == "header" and not self.articles:
+                left = 0.0
+            if left < 1:
                 self.end_block()
-                self.skips += 1
             if tag in ("article", "main"):
-                if not self.articles:
-                    self.article += 1
-                    if attrs and is_boilerplate(attrs):
-                        self.doubtful.add(self.article)
+                self.article += not self.articles
                 self.articles += 1
-            self.open.append((tag, skip))
+            self.open.append((tag, self.left))
+            self.left *= left
             self.container += 1
             self.inner.append(self.container)
 
@@ -213,34 +248,42 @@ def extract(html: str | None) -> str:
     parser.close()
     parser.end_block()
     lines = parser.found
-    content = [k for k, x in enumerate(lines) if not x[2]]
+    content = [k for k, x in enumerate(lines) if x.left]
     if not content:
         return ""
-    ratios = np.array([0.0 if x[2] else len(x[0]) / max(x[1], 1) for x in lines])
-    smooth = smoothed(ratios)
-    level = min(smooth.std(), smooth[content].max())
-    chosen = [k for k in content if smooth[k] >= level]
-    marked = [k for k in content if lines[k][3]]
-    if marked:
-        # a marked article is a region of its own: it is taken whole if a selected line lies in it, or
-        # a line of any length that is neither a heading nor mostly links
-        articles = {lines[k][3] for k in chosen} - {0} | {lines[k][3] for k in marked if not lines[k][4] and not lines[k][6]} or {lines[k][3] for k in marked}
-        articles = articles - parser.doubtful or articles
-        return "\n".join(lines[k][0] for k in marked if lines[k][3] in articles)
-    homes = {lines[k][5] for k in chosen}
+    left = np.array([x.left for x in lines])
+    own = np.array([x.left * len(x.text) / max(x.tags, 1) for x in lines])
+    score = smoothed(own) * left
+    level = min(score.std(), score[content].max())
+    plain = [k for k in content if lines[k].left == 1 and score[k] >= level]
+    least = max(level, KEPT_SHARE * score[plain].mean()) if plain else level
+    dropped = np.array([x.left < 1 and score[k] < least or not x.left for k, x in enumerate(lines)])
+    chosen = [k for k in content if score[k] >= level and not dropped[k]]
+    mass = [0, 0]
+    for k in chosen:
+        mass[lines[k].article > 0] += len(lines[k].text)
+    inside = [k for k in content if lines[k].article and not dropped[k]]
+    if inside and mass[1] >= mass[0]:
+        articles = {lines[k].article for k in chosen} - {0} | {lines[k].article for k in inside if not lines[k].heading and not lines[k].links}
+        return "\n".join(lines[k].text for k in inside if lines[k].article in articles or not articles)
+    # an article that is but a teaser has no part in the region, unless its lines are long ones
+    dropped |= np.array([x.article > 0 for x in lines]) & (own < level)
+    chosen = [k for k in chosen if not dropped[k]] or chosen
+    homes = {lines[k].container for k in chosen}
     begin, end = chosen[0], chosen[-1]
-    # short paragraphs of the same containers belong to the region, also beyond skipped blocks, and so do
+    # short paragraphs of the same containers belong to the region, also beyond dropped blocks, and so do
     # the headings that lead into it
     gap, k = False, begin - 1
-    while k >= 0 and (lines[k][2] or lines[k][4] and not gap or not lines[k][6] and lines[k][5] in homes):
-        gap = gap or lines[k][2]
-        begin = begin if lines[k][2] else k
+    while k >= 0 and (dropped[k] or lines[k].heading and not gap or not lines[k].links and lines[k].container in homes):
+        gap = gap or bool(dropped[k])
+        begin = begin if dropped[k] else k
         k -= 1
     k = end + 1
-    while k < len(lines) and (lines[k][2] or not lines[k][6] and lines[k][5] in homes):
-        end = end if lines[k][2] or lines[k][4] else k  # a heading without text after it does not count
+    while k < len(lines) and (dropped[k] or not lines[k].links and lines[k].container in homes):
+        end = end if dropped[k] or lines[k].heading else k  # a heading without text after it does not count
         k += 1
-    return "\n".join(lines[k][0] for k in content if begin <= k <= end and (lines[k][5] in homes or not lines[k][6]))
+    region = (k for k in range(begin, end + 1) if not dropped[k] and (lines[k].container in homes or not lines[k].links))
+    return "\n".join(lines[k].text for k in region)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
