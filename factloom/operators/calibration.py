@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..policy import CALIBRATABLE, POLICIES, by_relation
 from ..sources.records import KEY, DataError, require_none
+from ..sources.shared import small_side, stored
 from . import scoring, votes
 from .keyed import duplicate_keys
 from .sets import missing_keys
@@ -47,7 +48,7 @@ def patterns(tallied: DataFrame, gold: DataFrame) -> DataFrame:
 
 def grid_scores(tallied: DataFrame, gold: DataFrame, grid: DataFrame, rules: dict[str, str]) -> DataFrame:
     """``Relation, tc, tn, macro_p, macro_r, macro_f1, predicted, empty, rows`` of every grid point."""
-    met = patterns(tallied, gold).join(F.broadcast(grid), "Relation")
+    met = patterns(tallied, gold).join(small_side(grid), "Relation")
     rule = by_relation(rules)
     places = F.filter(F.sequence(F.lit(1), F.size("counts") + 1), lambda i: i <= F.size("counts")).cast("array<bigint>")
     none = F.array().cast("array<bigint>")
@@ -111,10 +112,10 @@ def calibrate(gold: DataFrame, headers: DataFrame, passes: DataFrame, traces: Da
     own = wanted.select("row_idx", *KEY)
     held = passes.join(own.select("row_idx"), "row_idx", "left_semi")
     empty = headers.join(held.select("row_idx", "pass_idx").distinct(), ["row_idx", "pass_idx"], "left_anti").groupBy("row_idx").agg(F.count("*").alias("empty_n"))
-    tallied = votes.tally(headers.join(own.select("row_idx"), "row_idx", "left_semi"), held).join(own, "row_idx").join(empty, "row_idx", "left").fillna(0, ["empty_n"])
+    tallied = stored(votes.tally(headers.join(own.select("row_idx"), "row_idx", "left_semi"), held).join(own, "row_idx").join(empty, "row_idx", "left").fillna(0, ["empty_n"]))
     aware = tuple(r for r in chosen if POLICIES[r].none is not None)
     fixed = tuple(r for r in chosen if POLICIES[r].rule == "majority_none")
-    grid = observed_grid(tallied, aware, fixed)
+    grid = stored(observed_grid(tallied, aware, fixed))
     best = best_points(grid_scores(tallied, gold, grid, {r: POLICIES[r].rule for r in chosen}))
     available = asked.groupBy("Relation").agg(F.count("*").alias("rows_available"))
     gaps = missing.groupBy("Relation").agg(F.count("*").alias("rows_missing"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import small_side
+
 
 def rotated_rank(rank: Column, size: Column, offset: Column) -> Column:
     """Position of the item of 0-based ``rank`` in a ring of ``size`` after a shift by ``offset``."""
@@ -81,12 +83,12 @@ def select_examples(targets: DataFrame, examples: DataFrame) -> DataFrame:
     )
     own_totals = times.groupBy(*own_key).agg(F.sum("times").alias("own_rows"), F.max(F.col("empty").cast("int")).alias("own_e"), F.max((~F.col("empty")).cast("int")).alias("own_f"))
     asked = targets.where("limit > 0").select("target", "SubjectEntity", "Relation", "offset", "limit")
-    counted = asked.join(F.broadcast(totals), "Relation").join(own_totals, own_key, "left").fillna(0, ["own_rows", "own_e", "own_f"])
+    counted = asked.join(small_side(totals), "Relation").join(own_totals, own_key, "left").fillna(0, ["own_rows", "own_e", "own_f"])
     pools = counted.select(
         "target", "SubjectEntity", "Relation", "offset", "limit", (F.col("all_rows") - F.col("own_rows")).alias("n"), (F.col("all_e") - F.col("own_e")).cast("int").alias("e"), (F.col("all_f") - F.col("own_f")).cast("int").alias("f")
     ).where("n > 0")
     own = times.select(*ring_key, "SubjectEntity", "places", "times")
-    turned = pools.join(F.broadcast(sizes), "Relation").join(own, [*ring_key, "SubjectEntity"], "left")
+    turned = pools.join(small_side(sizes), "Relation").join(own, [*ring_key, "SubjectEntity"], "left")
     left = F.col("size") - F.coalesce("times", F.lit(0))
     none = F.array().cast("array<int>")
     start = F.pmod(F.col("offset"), F.nullif(left, F.lit(0))).cast("int")

@@ -8,40 +8,35 @@ unfinished requests only.  Seeds depend on row, stage and sample alone.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions import jsontext, text
 from ..policy import POLICIES, RELATIONS, by_relation
+from ..sources.shared import stored
 from . import aliases, examples, prompts, votes
 
 METHOD = "factloom-1"
 # Seed offsets of the stages and of a row, limits of the identity request.
 ROW_SEEDS, SAMPLE_SEED, COMPLETION_SEED, VERIFICATION_SEED = 1000, 10, 100, 110
 ANCHOR_TOKENS, ANCHOR_TEMPERATURE = 256, 0.2
+REWRITES = "array<struct<from: string, to: string>>"
+# Why nothing was asked, and what an unreadable verification falls back to.
+SKIPPED, FALLBACK = "unanimous-empty-aggregate", "malformed-verifier-response"
 ANSWERED = "row_idx long, stage string, sample_idx int, text string, provider string, usage string"
 
 
-def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-")
-    path = f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ask(requests: DataFrame, client, concurrency: int) -> DataFrame:
-    """Answers to requests; those of a partition are in flight together, up to ``concurrency``."""
+    """Answers to requests, of which at most ``concurrency`` are in flight at once, over all tasks."""
+    parts = max(1, min(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), concurrency))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+        with ThreadPoolExecutor(max(1, concurrency // parts)) as pool:
             for batch in batches:
                 asked = batch.to_dict("records")
                 for r in asked:
@@ -60,9 +55,7 @@ def ask(requests: DataFrame, client, concurrency: int) -> DataFrame:
                     }
                 )
 
-    spark = requests.sparkSession
-    spread = requests.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_idx", "sample_idx")
-    return stored(spark, spread.mapInPandas(run, ANSWERED))
+    return stored(requests.repartition(parts, "row_idx", "sample_idx").mapInPandas(run, ANSWERED))
 
 
 def _format(config: RunConfig, reasoned: bool, stage: str):
@@ -107,7 +100,7 @@ def predict(rows: DataFrame, client, config: RunConfig, gold: DataFrame, shots:
 
     ``gold`` has the nested training facts for aliases, ``shots`` the examples for prompts.
     """
-    spark, g = rows.sparkSession, config.generation
+    g = config.generation
     strict, policies = g.output_mode == "json_schema", g.policies()
     subject, relation = F.col("SubjectEntity"), F.col("Relation")
     rows = rows.select("row_idx", "SubjectEntity", "Relation")
@@ -143,7 +136,7 @@ def predict(rows: DataFrame, client, config: RunConfig, gold: DataFrame, shots:
 
     # aggregation
     spelled, rewrites = _spell(raw, rows, gold)
-    result = stored(spark, votes.aggregate(rows, headers, spelled, policies)).drop("Relation")
+    result = stored(votes.aggregate(rows, headers, spelled, policies)).drop("Relation")
     found = rows.join(result, "row_idx").join(anchors.select("row_idx", "anchor"), "row_idx")
 
     # completion, where the aggregate is not empty
@@ -152,20 +145,20 @@ def predict(rows: DataFrame, client, config: RunConfig, gold: DataFrame, shots:
     completed = ask(asked, client, g.concurrency).join(rows, "row_idx").withColumn("a", jsontext.plain_answer("text", "Relation"))
     missing = completed.where("a.usable").select("row_idx", F.lit(1).alias("pass_idx"), F.posexplode("a.parsed").alias("pos", "value"))
     whole = _as_values(found, "result").unionByName(missing)
-    once = _spell(votes_union(whole), rows, gold)[0]
-    sets = stored(spark, _as_sets(once, rows, "whole"))
+    once, named = _spell(votes_union(whole), rows, gold)
+    sets = stored(_as_sets(once, rows, "whole"))
 
     # verification of what is there
     due = rows.join(sets, "row_idx").where(relation.isin(*[r for r, p in policies.items() if p.verifies]) & (F.size("whole") > 0))
     asked = _requests(due, config, "verification", F.lit(0), F.lit(VERIFICATION_SEED), prompts.verification_messages(subject, relation, F.col("whole"), strict), _format(config, False, "verification"))
     verified = ask(asked, client, g.concurrency).join(rows, "row_idx").withColumn("a", jsontext.plain_answer("text", "Relation"))
-    accepted = _spell(verified.where("a.usable").select("row_idx", F.lit(0).alias("pass_idx"), F.posexplode("a.parsed").alias("pos", "value")), rows, gold)[0]
+    accepted, allowed = _spell(verified.where("a.usable").select("row_idx", F.lit(0).alias("pass_idx"), F.posexplode("a.parsed").alias("pos", "value")), rows, gold)
     accepted = accepted.select("row_idx", text.key("value").alias("nk")).distinct()
     judged = verified.where("a.usable").select("row_idx", F.lit(True).alias("judged"))
     values = _as_values(sets, "whole").withColumn("nk", text.key("value")).join(judged, "row_idx", "left").join(accepted.withColumn("ok", F.lit(True)), ["row_idx", "nk"], "left")
     kept = values.where("judged is null or ok").select("row_idx", "pass_idx", "pos", "value")
     final, last = _spell(kept, rows, gold)
-    objects = stored(spark, _as_sets(final, rows, "ObjectEntities"))
+    objects = stored(_as_sets(final, rows, "ObjectEntities"))
     predictions = rows.join(objects, "row_idx")
 
     # traces
@@ -187,24 +180,39 @@ def predict(rows: DataFrame, client, config: RunConfig, gold: DataFrame, shots:
     taken = ordered.groupBy("row_idx").agg(F.transform(F.array_sort(F.collect_list("s"), lambda x, y: F.when(x["rank"] * 10_000 + x["n"] < y["rank"] * 10_000 + y["n"], -1).otherwise(1)), lambda s: s["step"]).alias("workflow_steps"))
     unread = read.groupBy("row_idx").agg(F.count_if(~F.col("a.usable")).alias("unusable_samples"))
     passes = _pass_lists(headers, spelled).withColumnRenamed("lists", "passes").join(_pass_lists(headers, raw).withColumnRenamed("lists", "raw_passes"), "row_idx")
-    changed = rewrites.groupBy("row_idx").agg(F.sort_array(F.collect_list(F.struct("pass_idx", "pos", "from", "to"))).alias("r"))
-    renamed = changed.select("row_idx", F.transform("r", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))).alias("alias_rewrites"))
-    end = last.groupBy("row_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "from", "to"))).alias("r")).select("row_idx", F.transform("r", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))).alias("final_alias_rewrites"))
+    renamed, end = _listed(rewrites, "alias_rewrites"), _listed(last, "final_alias_rewrites")
+    # what completion and verification did: nothing was asked where the aggregate is empty, and an unreadable
+    # answer leaves the set as it is
+    none = F.array().cast(REWRITES)
+    filled = found.where(relation.isin(*[r for r, p in policies.items() if p.completes])).select("row_idx", F.when(F.size("result") == 0, F.lit(SKIPPED)).alias("skipped"))
+    asked_for = filled.join(completed.select("row_idx", "a.parsed", "a.usable"), "row_idx", "left").join(_listed(named, "r"), "row_idx", "left")
+    about_completion = F.struct(F.col("parsed").alias("missing"), "usable", F.when(F.col("skipped").isNull(), F.coalesce("r", none)).alias("alias_rewrites"), "skipped")
+    completion = asked_for.select("row_idx", about_completion.alias("completion"))
+    judgement = verified.select("row_idx", "a.usable").join(_as_sets(kept, rows, "accepted"), "row_idx").join(_listed(allowed, "r"), "row_idx", "left")
+    about_verification = F.struct("accepted", F.when(~F.col("usable"), F.lit(FALLBACK)).alias("fallback"), F.col("r").alias("alias_rewrites"))
+    verification = judgement.select("row_idx", about_verification.alias("verification"))
     trace = rows
-    for part in (anchors.select("row_idx", F.col("anchor_info").alias("anchor")), taken, unread, passes, renamed, end, result, objects.withColumnRenamed("ObjectEntities", "final")):
+    for part in (anchors.select("row_idx", F.col("anchor_info").alias("anchor")), taken, unread, passes, renamed, end, result, completion, verification, objects.withColumnRenamed("ObjectEntities", "final")):
         trace = trace.join(part, "row_idx", "left")
     trace = trace.withColumn("method", F.lit(METHOD)).withColumn("model", F.lit(config.lm_studio.model)).withColumn("model_parameters_billion", F.lit(float(config.lm_studio.model_parameters_billion)))
-    about = F.struct("passes", "raw_passes", "samples", "empty_samples", "unusable_samples", "alias_rewrites", by_relation({r: p.rule for r, p in policies.items()}).alias("method"), "result")
+    about = F.struct("passes", "raw_passes", "samples", "empty_samples", "unusable_samples", "alias_rewrites", by_relation({r: p.rule for r, p in policies.items()}).alias("method"), *[by_relation({r: getattr(p, k) for r, p in policies.items()}).cast("double").alias(f"{k}_threshold") for k in ("candidate", "none")], "result")
     return predictions, trace.select(
-        F.col("row_idx").alias("row_index"), "SubjectEntity", "Relation", "method", "model", "model_parameters_billion", "anchor", "workflow_steps", "unusable_samples", about.alias("self_consistency"), "final_alias_rewrites", "final"
+        F.col("row_idx").alias("row_index"), "SubjectEntity", "Relation", "method", "model", "model_parameters_billion", "anchor", "workflow_steps", "unusable_samples", about.alias("self_consistency"), "completion", "verification", "final_alias_rewrites", "final"
     )
 
 
 def votes_union(values: DataFrame) -> DataFrame:
     """Values that differ by key, first seen first, as one sample."""
     first = values.withColumn("nk", text.key("value")).where("nk <> ''").groupBy("row_idx", "nk").agg(F.min(F.struct("pass_idx", "pos", "value")).alias("f"))
-    # places follow the order of passes, then positions
-    return first.select("row_idx", F.lit(0).alias("pass_idx"), (F.col("f.pass_idx") * F.lit(1_000_000) + F.col("f.pos")).cast("int").alias("pos"), F.col("f.value").alias("value"))
+    # places follow the order of passes, then positions, however long a pass is
+    place = (F.row_number().over(Window.partitionBy("row_idx").orderBy("f")) - 1).alias("pos")
+    return first.select("row_idx", F.lit(0).alias("pass_idx"), place, F.col("f.value").alias("value"))
+
+
+def _listed(rewrites: DataFrame, name: str) -> DataFrame:
+    """``row_idx`` and its rewrites in order, as (from, to)."""
+    listed = rewrites.groupBy("row_idx").agg(F.sort_array(F.collect_list(F.struct("pass_idx", "pos", "from", "to"))).alias("r"))
+    return listed.select("row_idx", F.transform("r", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))).alias(name))
 
 
 def _pass_lists(headers: DataFrame, values: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def merge_files(spark: SparkSession, base: str, overrides: list[str], output: st
     partial = None
     for k, path in enumerate(overrides):
         one = validate_predictions(records.read_strict(spark, path), path)
-        one = one.select((F.col("row_idx") + F.lit(k << 40)).alias("row_idx"), *KEY, "ObjectEntities")
+        one = one.select((F.col("row_idx") + F.lit(k << 44)).alias("row_idx"), *KEY, "ObjectEntities")
         partial = one if partial is None else partial.unionByName(one)
     records.require_none(override_violations(rows, partial), ", ".join(overrides))
     merged = merge(rows, partial, list(KEY), "ObjectEntities")

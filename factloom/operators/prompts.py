@@ -55,11 +55,16 @@ def _asks(relation: Column) -> Column:
     return F.concat(F.lit("\nRelation: "), relation, F.lit("\nDefinition: "), by_relation(DEFINITIONS, relation))
 
 
+def anchor_lead(strict: bool) -> str:
+    """How a question of identity begins."""
+    lead = "Return only the constrained object" if strict else "Return only JSON"
+    return f"{CLOSED_BOOK} Say briefly which subject is meant and admit what is uncertain. {lead} with `description` and `identity_checks`."
+
+
 def anchor_messages(subject: Column, relation: Column, strict: bool) -> Column:
     """Asks who or what exactly the subject is."""
-    lead = "Return only the constrained object" if strict else "Return only JSON"
     system = F.concat(
-        F.lit(f"{CLOSED_BOOK} Say briefly which subject is meant and admit what is uncertain. {lead} with `description` and `identity_checks`."),
+        F.lit(anchor_lead(strict)),
         _asks(relation),
         F.lit("\nTell apart by: "),
         by_relation(IDENTITIES, relation),

@@ -13,16 +13,15 @@ from pyspark.sql import types as T
 from ..functions import text
 from ..functions.jsontext import LISTING, unique_values
 from ..policy import NUMERIC
-from ..sources import digests, records, traces
+from ..sources import digests, records, traces, training
 from ..sources.records import KEY, DataError, require_none
+from ..sources.shared import ranked, stored
 from . import keyed, scoring
 
 # Fields of a path, fields and constants of its manifest.
 FIELDS = ("SubjectEntity", "Relation", "ObjectEntities", "Rationale", "Model", "ModelParametersBillion")
 MANIFEST_FIELDS = ("artifact_type", "manifest_version", "model", "model_parameters_billion", "train_canonical_sha256", "traces_sha256", "synthetic_cot_sha256", "row_count")
 ARTIFACT, MANIFEST_VERSION, LARGEST_MODEL = "synthetic-cot", 1, 32.0
-#: Steps that a trace may have, for numbering paths by trace and step.
-STEPS = 4096
 _SHA = r"^[0-9a-f]{64}$"
 _STEPS = T.ArrayType(T.StructType([T.StructField("rationale", T.StringType()), T.StructField("answers", T.ArrayType(T.StringType()))]))
 
@@ -87,8 +86,7 @@ def build_paths(gold: DataFrame, trace_rows: DataFrame) -> DataFrame:
     same = scored.withColumn("nks", text.keys("answers"))
     nth = F.row_number().over(Window.partitionBy(*KEY, F.to_json("nks"), "rationale").orderBy("trace_idx", "step"))
     first = same.withColumn("nth", nth).where("nth = 1")
-    place = (F.col("trace_idx") * F.lit(STEPS) + F.col("step")).alias("row_idx")
-    return first.select(place, *KEY, F.col("answers").alias("ObjectEntities"), F.col("rationale").alias("Rationale"), F.lit(model).alias("Model"), F.lit(size).alias("ModelParametersBillion"))
+    return ranked(first, ["trace_idx", "step"]).select("row_idx", *KEY, F.col("answers").alias("ObjectEntities"), F.col("rationale").alias("Rationale"), F.lit(model).alias("Model"), F.lit(size).alias("ModelParametersBillion"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -170,29 +168,28 @@ def load_paths(spark: SparkSession, path: str, train_path: str, model: str, size
     for name, value in checks.items():
         if found[name] != value:
             raise DataError(f"path file does not fit: {name} is {found[name]!r}, not {value!r}")
-    rows = read_paths(spark, path)
+    rows = stored(read_paths(spark, path))
     if rows.count() != found["row_count"]:
         raise DataError("row count does not match the manifest")
-    require_none(path_violations(rows, records.gold_facts(records.read_records(spark, train_path)), model, float(size)), path)
+    require_none(path_violations(rows, stored(records.gold_facts(records.read_records(spark, train_path))), model, float(size)), path)
     if digests.file_digest(path) != before:
         raise DataError("path file changed while it was being loaded")
     return rows
 
 
-def build_file(spark: SparkSession, train_path: str, traces_path: str, output: str) -> int:
+def build_file(spark: SparkSession, train_path: str, traces_path: str, output: str, bundled: str | None = None) -> int:
     """Write the correct paths of traces with their manifest, and read them back; returns their number."""
-    digests.refuse_held_back(train_path, "gold")
     digests.refuse_held_back(traces_path, "trace")
     for made in (Path(output), manifest_path(output)):
         keyed.distinct_output(made, train_path, traces_path)
         if Path(traces_path).resolve() in made.resolve().parents:
             raise DataError("output must be outside its trace folder")
     before = digests.folder_digest(traces_path)
-    gold = records.gold_facts(records.read_records(spark, train_path))
+    gold = stored(training.train_rows(spark, train_path, bundled))
     require_none(keyed.key_violations(gold), train_path)
     trace_rows = traces.read_traces(spark, traces_path)
     model, size = provenance(trace_rows)
-    paths = build_paths(gold, trace_rows)
+    paths = stored(build_paths(gold, trace_rows))
     require_none(path_violations(paths, gold, model, size), "paths")
     records.write_file(records.to_lines(paths), output)
     if digests.folder_digest(traces_path) != before:

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from ..operators import calibration
 from ..policy import POLICIES, TOLERANCE
 from ..sources import digests, records, traces
-from .run import train_rows
+from ..sources.training import train_rows
 
 TIE_BREAK = "best macro F1, then macro precision, then fewest predicted objects, then the higher thresholds"
 
@@ -45,9 +45,9 @@ def calibrate_files(spark: SparkSession, train_path: str, traces_path: str, outp
             "numeric_tolerance": TOLERANCE,
             "generated_at_utc": datetime.now(UTC).isoformat(),
             "train_gold_path": str(train_path),
-            "train_gold_sha256": digests.folder_digest(train_path),
+            "train_gold_sha256": digests.source_digest(train_path),
             "raw_traces_path": str(traces_path),
-            "raw_traces_sha256": digests.folder_digest(traces_path),
+            "raw_traces_sha256": digests.source_digest(traces_path),
             "tie_break": TIE_BREAK,
             "allow_partial": allow_partial,
             "grid_sizes": grids,

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsontext, text
-from ..operators import aliases, calibration, examples, keyed, scoring, sets, votes
+from ..operators import aliases, calibration, examples, keyed, prompts, scoring, sets, votes
+from ..policy import RELATIONS
+from ..sources.shared import stored
 from . import adapters
 from .adapters import table
 
@@ -230,8 +232,9 @@ def normalize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH k AS (SELECT doc_id, {_NORM.format('text')} AS k FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS copies FROM k WHERE k <> '' GROUP BY k")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.key("text").alias("k")).where("k <> ''")
-    return docs.groupBy(F.xxhash64("k").alias("h"), F.md5(F.col("k").cast("binary")).alias("d")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.key("text").alias("k"))
+    same = docs.groupBy(F.sha2(F.col("k").cast("binary"), 256).alias("d")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return same.where(F.col("d") != F.sha2(F.lit("").cast("binary"), 256)).select("doc_id", "copies")
 
 
 @query("SELECT p_partkey, regexp_extract(p_brand, '[0-9]+') AS brand_number, CAST(p_retailprice AS DOUBLE) AS price FROM part")
@@ -312,7 +315,7 @@ def semi_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", jsontext.object_field(F.concat(F.lit("Props: "), "props"), "k").cast("long").alias("k"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS answer FROM events")
@@ -360,11 +363,25 @@ def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("target", F.col("place").cast("long").alias("place"), F.col("row_idx").alias("example"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def cases(values: dict[str, str], relation: str = "rel") -> str:
+    """SQL that gives the value of a row's relation."""
+    quoted = {k: v.replace("'", "''") for k, v in values.items()}
+    return f"CASE {relation} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in quoted.items()) + " END"
+
+
+_RELATION = "[" + ", ".join(f"'{r}'" for r in RELATIONS) + "]"
+
+
+@query(
+    f"""WITH n AS (SELECT n_nationkey, n_name, {_RELATION}[n_nationkey % 6 + 1] AS rel FROM nation)
+    SELECT n_nationkey, 'system: {prompts.anchor_lead(False)}' || chr(10) || 'Relation: ' || rel || chr(10) || 'Definition: ' || {cases(prompts.DEFINITIONS)} || chr(10) || 'Tell apart by: '
+        || {cases(prompts.IDENTITIES)} || chr(10) || 'user: Subject: ' || n_name AS prompt FROM n"""
+)
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("m"))
-    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    return listed.select("conv_id", joined(F.transform("ms", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("prompt"))
+    relation = F.element_at(F.array(*[F.lit(r) for r in RELATIONS]), F.col("n_nationkey") % 6 + 1)
+    nations = table(spark, sf_dir, "nation").withColumn("rel", relation)
+    messages = prompts.anchor_messages(F.col("n_name"), F.col("rel"), False)
+    return nations.select("n_nationkey", joined(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("prompt"))
 
 
 # --- calibration ---
@@ -388,7 +405,7 @@ _GRID = """l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS pass, l_return
 
 def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, passes, gold = adapters.flag_votes(spark, sf_dir)
-    tallied = votes.tally(headers, passes).join(gold.select("row_idx", "SubjectEntity", "Relation"), "row_idx").withColumn("empty_n", F.col("none_n"))
+    tallied = stored(votes.tally(headers, passes).join(gold.select("row_idx", "SubjectEntity", "Relation"), "row_idx").withColumn("empty_n", F.col("none_n")))
     grid = calibration.observed_grid(tallied, ("companyTradesAtStockExchange",))
     return calibration.grid_scores(tallied, gold, grid, {"companyTradesAtStockExchange": "threshold_none"})
 
@@ -409,16 +426,17 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PAIRS}, w AS (SELECT o_custkey AS k, o_orderstatus AS pass, o_orderpriority AS v FROM orders GROUP BY ALL),
-    gp AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS v FROM orders), gn AS (SELECT k, count(*) AS g FROM gp GROUP BY k),
-    h AS (SELECT k, pass, count(*) AS c FROM w GROUP BY k, pass)
-    SELECT '*** All Relations ***' AS Relation, round(avg(ok), 9) AS ceiling FROM (SELECT k, max(CASE WHEN c = g THEN 1 ELSE 0 END) AS ok FROM h JOIN gn USING (k) GROUP BY k)
-    UNION ALL SELECT 'priority', round(avg(ok), 9) FROM (SELECT k, max(CASE WHEN c = g THEN 1 ELSE 0 END) AS ok FROM h JOIN gn USING (k) GROUP BY k)"""
+    """WITH h AS (SELECT o_custkey AS k, o_orderstatus AS pass, count(DISTINCT o_orderpriority) AS c FROM orders GROUP BY o_custkey, o_orderstatus),
+    g AS (SELECT o_custkey AS k, count(DISTINCT o_orderpriority) AS priorities, count(DISTINCT o_orderstatus) AS states FROM orders GROUP BY o_custkey),
+    r AS (SELECT k, 'priority' AS Relation, max(CASE WHEN c = priorities THEN 1 ELSE 0 END) AS ok FROM h JOIN g USING (k) GROUP BY k
+          UNION ALL SELECT k, 'status', max(CASE WHEN states = 1 THEN 1 ELSE 0 END) FROM g GROUP BY k)
+    SELECT Relation, round(avg(ok), 9) AS ceiling FROM r GROUP BY Relation UNION ALL SELECT '*** All Relations ***', round(avg(ok), 9) FROM r"""
 )
 def oracle_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = adapters.order_facts(spark, sf_dir)[0].where("Relation = 'priority'")
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.collect_set("o_orderpriority").alias("preds"))
-    ready = gold.join(orders, gold.row_idx == orders.o_custkey).withColumnRenamed("ObjectEntities", "golds")
+    gold = adapters.order_facts(spark, sf_dir)[0]
+    passes = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.collect_set("o_orderpriority").alias("priorities"))
+    preds = F.when(F.col("Relation") == "priority", F.col("priorities")).otherwise(F.array("o_orderstatus"))
+    ready = gold.join(passes, gold.row_idx == passes.o_custkey).withColumn("preds", preds).withColumnRenamed("ObjectEntities", "golds")
     scored = scoring.with_scores(scoring.unique_predictions(ready, "preds").select("SubjectEntity", "Relation", "o_orderstatus", "golds", "surfaces", "pred_keys"), keep=("o_orderstatus",))
     return scoring.oracle_ceiling(scored).select("Relation", F.round("ceiling", 9).alias("ceiling"))
 

@@ -36,26 +36,6 @@ def blank_predictions(rows: DataFrame) -> DataFrame:
     return records.to_lines(rows.select("row_idx", "SubjectEntity", "Relation", F.array().cast("array<string>").alias("ObjectEntities")))
 
 
-def train_rows(spark: SparkSession, path: str, bundled: str | None = None) -> DataFrame:
-    """Training facts; with a bundled file every row must be copied from it exactly."""
-    digests.refuse_held_back(path, "training data")
-    lines = records.read_records(spark, path)
-    if not lines.limit(1).count():
-        raise DataError("training data must contain at least one row")
-    if bundled is not None:
-        # equal rows are equal strings once keys are sorted; a bag difference finds the others
-        own, allowed = (x.select(records_key("line").alias("row")) for x in (lines, records.read_records(spark, bundled)))
-        odd = own.exceptAll(allowed).limit(1).collect()
-        if odd:
-            raise DataError(f"training data contains a row not copied exactly from the bundled file: {odd[0]['row'][:200]}")
-    return records.gold_facts(lines)
-
-
-def records_key(line: str):
-    """A JSON line with sorted keys."""
-    return F.to_json(F.try_parse_json(line))
-
-
 def example_rows(spark: SparkSession, config: RunConfig, gold: DataFrame) -> DataFrame:
     """Training facts as examples, after the reasoning paths if there are any."""
     plain = gold.withColumn("Rationale", F.lit(None).cast("string"))
@@ -66,7 +46,7 @@ def example_rows(spark: SparkSession, config: RunConfig, gold: DataFrame) -> Dat
     paths = reasoning.load_paths(spark, config.synthetic_cot_file, config.train_data_file, model.model, model.model_parameters_billion)
     if not paths.limit(1).count():
         raise DataError("the reasoning path file contains no usable examples")
-    nested = paths.select((F.col("row_idx") - F.lit(1 << 40)).alias("row_idx"), "SubjectEntity", "Relation", F.transform("ObjectEntities", lambda x: F.array(x)).alias("ObjectEntities"), "Rationale")
+    nested = paths.select((F.col("row_idx") - F.lit(1 << 62)).alias("row_idx"), "SubjectEntity", "Relation", F.transform("ObjectEntities", lambda x: F.array(x)).alias("ObjectEntities"), "Rationale")
     return nested.unionByName(plain)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from . import digests
@@ -15,6 +16,14 @@ def _flat(objects: object) -> bool:
     return isinstance(objects, list) and all(isinstance(x, str) for x in objects)
 
 
+def _is_map(value: object) -> bool:
+    return isinstance(value, dict)
+
+
+def _is(wanted: object) -> Callable[[object], bool]:
+    return lambda value: type(value) is type(wanted) and value == wanted
+
+
 class RowShards:
     """Finished rows of one run in a folder that every process of the run can reach."""
 
@@ -45,30 +54,21 @@ class RowShards:
             raise DataError("the manifest of the stored rows does not match this configuration and input")
 
     def problem(self, index: int, record: object) -> str | None:
-        """What is wrong with a shard, if anything."""
+        """What is wrong with a shard, if anything: the first place whose value is not what this row's has."""
         subject, relation = self.keys[index]
-        mine = {"SubjectEntity": subject, "Relation": relation}
-
-        def same(value: object, numbered: bool) -> bool:
-            return (
-                isinstance(value, dict)
-                and all(value.get(k) == v for k, v in mine.items())
-                and (not numbered or type(value.get("row_index")) is int and value["row_index"] == index)
-            )
-
-        if not isinstance(record, dict):
-            return "must be a JSON object"
-        if record.get("version") != VERSION:
-            return "has an unsupported version"
-        if not same(record, True):
-            return "does not match its input row"
-        if not isinstance(record.get("prediction"), dict) or not isinstance(record.get("raw"), dict):
-            return "is incomplete"
-        if not same(record["prediction"], False):
-            return "has a prediction of another row"
-        if not _flat(record["prediction"].get("ObjectEntities")):
-            return "needs a flat string list of objects"
-        return None if same(record["raw"], True) else "has a trace of another row"
+        own = {"SubjectEntity": subject, "Relation": relation}
+        wanted: list[tuple[tuple[str, ...], Callable[[object], bool]]] = [((), _is_map), (("version",), _is(VERSION)), (("row_index",), _is(index))]
+        wanted += [((k,), _is(v)) for k, v in own.items()]
+        for part, fields in (("prediction", own), ("raw", own | {"row_index": index})):
+            wanted += [((part,), _is_map), *(((part, k), _is(v)) for k, v in fields.items())]
+        wanted.append((("prediction", "ObjectEntities"), _flat))
+        for place, fits in wanted:
+            value = record
+            for step in place:
+                value = value.get(step) if isinstance(value, dict) else None
+            if not fits(value):
+                return f"does not fit its row at {'.'.join(place) or 'its root'}"
+        return None
 
     def load(self) -> list[dict]:
         """Records of the finished rows, which must be the first rows without a gap."""

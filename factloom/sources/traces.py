@@ -6,16 +6,15 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import digests
 from .records import KEY, DataError, require_none
+from .shared import ranked
 
 # Fields that wrap one trace, and fields that wrap a list of them.
 WRAPPED, LISTED = ("raw", "trace"), ("traces", "rows", "results")
-#: Traces that a file may hold, for numbering them by file and place.
-FILE_ROWS = 1 << 20
 SCHEMA = "path string, part int, line string"
 
 
@@ -61,18 +60,26 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["path", "part", "line"])
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, of whatever store, is a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        raise FileNotFoundError(path)
+    return files.getFileStatus(at).isDirectory()
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """``row_idx, line, SubjectEntity, Relation`` of all traces in path order; a folder is read recursively."""
     digests.refuse_held_back(path, "trace")
     reader = spark.read
-    if not path.endswith((".json", ".jsonl")):
+    if is_folder(spark, path):
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     split = files.mapInPandas(_split, SCHEMA)
     named = split.select(*split.columns, *[F.get_json_object("line", f"$.{k}").alias(k) for k in KEY])
-    # file numbers stand for paths in order; a file's traces follow in their own order
-    files_of = named.select("path").distinct().withColumn("__file", F.row_number().over(Window.orderBy("path")) - 1)
-    rows = named.join(files_of, "path").select((F.col("__file").cast("long") * F.lit(FILE_ROWS) + F.col("part")).alias("row_idx"), "line", *KEY)
+    # files in the order of their paths, the traces of a file in their own order
+    rows = ranked(named, ["path", "part"]).select("row_idx", "line", *KEY)
     if not rows.limit(1).count():
         raise DataError(f"no trace rows found in {path}")
     return rows

@@ -46,13 +46,16 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_entry_without_the_training_data_operators(tmp_path):
-    for name in ("factloom", "__spark_entry__.py"):
-        source = os.path.join(ROOT, name)
-        if os.path.isdir(source):
-            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
-        else:
-            shutil.copy(source, tmp_path / name)
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_without_the_training_data_operators(tmp_path, pipeline):
+    """The whole repository without the llm folders, with and without the pipeline's file, also where a package is missing."""
+    gone = ("llm", "__pycache__", ".git", *(() if pipeline else ("corpus_pipeline.py",)))
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone))
     code = "import __spark_entry__ as e; q = e.queries(); assert not [k for k in q if k.startswith('op') and k[2].isdigit()] and 'pipeline' not in q and len(q) > 30 and e.oracle_sql()"
-    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+    if pipeline and os.path.isdir(os.path.join(ROOT, "factloom", "llm")):
+        shutil.copytree(os.path.join(ROOT, "factloom", "llm"), tmp_path / "repo" / "factloom" / "llm")
+        broken = "import sys; sys.modules['xxhash'] = None; " + code
+        done = subprocess.run([sys.executable, "-B", "-c", broken], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr

@@ -7,7 +7,7 @@ from factloom import cli, config
 from factloom.operators import inference
 from factloom.plans import run
 from factloom.policy import POLICIES
-from factloom.sources import client, records
+from factloom.sources import client, records, training
 from factloom.sources.records import DataError
 
 ENDPOINT = {"model": "m", "model_parameters_billion": 27, "retry_backoff_seconds": 0.01}
@@ -89,6 +89,18 @@ def test_rows_end_to_end(spark):
             stages = [s["stage"] for s in r["workflow_steps"]]
             assert stages == ["sample"] * len(case[1]) + [s for s in ("completion", "verification") if s in case[2]]
             assert r["final"] == case[4] and r["anchor"]["description"] == "d"
+            own, policy = r["self_consistency"], settings(**case[3]).generation.policies()[case[0]]
+            assert (own["candidate_threshold"], own["none_threshold"]) == (policy.candidate, policy.none)
+            done, judged = r["completion"], r["verification"]
+            if not policy.completes:
+                assert done is None
+            elif "completion" not in case[2]:
+                assert done["skipped"] == "unanimous-empty-aggregate" and done["missing"] is None
+            else:
+                assert done["usable"] == ("answers" in case[2]["completion"] or "candidates" in case[2]["completion"]) and done["alias_rewrites"] == [] and done["skipped"] is None
+            assert (judged is not None) == ("verification" in case[2])
+            if judged is not None:
+                assert judged["accepted"] == case[4] and judged["fallback"] == (None if "{" in case[2]["verification"] else "malformed-verifier-response")
 
 
 def test_seeds_and_messages(spark):
@@ -270,7 +282,7 @@ def test_dry_run_and_guards(spark, job):
 def test_run_and_resume(spark, job):
     tmp, conf, path = job
     loaded = config.load_config(conf)
-    gold = run.train_rows(spark, loaded.train_data_file)
+    gold = training.train_rows(spark, loaded.train_data_file)
     shots = run.example_rows(spark, loaded, gold)
     rows = run.input_rows(spark, path)
     out = str(tmp / "o.jsonl")
@@ -305,6 +317,14 @@ def test_predict_restarts(spark, job, monkeypatch):
     assert "3 predictions" in said and tries == [False, True]
 
 
+def test_training_rows_must_be_bundled(spark, job):
+    tmp, conf, rows = job
+    bundled = lines(tmp / "bundled.jsonl", [fact("Sea", "hasArea", [["7"]])])
+    for argv in (["predict", "-c", conf, "-i", rows, "-o", tmp / "o.jsonl"], ["calibrate", "--train", tmp / "train.jsonl", "--traces", rows, "--output", tmp / "y"], ["build-cot", "--train", tmp / "train.jsonl", "--traces", rows, "--output", tmp / "z"]):
+        with pytest.raises(DataError, match="not copied exactly"):
+            execute(spark, *argv, "--bundled", bundled, client=Fixed())
+
+
 def test_evaluate_and_parser(spark, job):
     tmp, _, _ = job
     gold, pred = lines(tmp / "g.jsonl", [fact("A", "hasArea", [["100"]])]), lines(tmp / "p.jsonl", [fact("A", "hasArea", ["104"])])
@@ -318,7 +338,7 @@ def test_evaluate_and_parser(spark, job):
 
 
 def test_scores_as_files_arrive(spark, tmp_path):
-    from factloom.streaming.resume import score_stream
+    from factloom.streaming.resume import latest_scores, score_stream
 
     folder = tmp_path / "in"
     folder.mkdir()
@@ -328,6 +348,10 @@ def test_scores_as_files_arrive(spark, tmp_path):
         score_stream(spark, str(folder), gold, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r["SubjectEntity"]: r["f1"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"A": 1.0, "B": 0.0}
+    # a key that comes again counts by its last batch, copies within a batch once
+    lines(folder / "9.json", [fact("B", "x", ["b"]), fact("A", "x", ["a"]), fact("A", "x", ["a"])])
+    score_stream(spark, str(folder), gold, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert {r["SubjectEntity"]: r["f1"] for r in latest_scores(spark, str(tmp_path / "out")).collect()} == {"A": 1.0, "B": 1.0}
 
 
 def test_policy_columns(spark):
