@@ -217,9 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = L
             found = [statistics([v for _, _, v in segments(steps[a:b])], int(b - a), scale) for a, b in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), *(pa.array(c, pa.float64()) for c in np.array(found).reshape(-1, 3).T)], ["y", "best", "strong", "dense"])
 
-    seen = mapped(rows, measured, "y long, best double, strong double, dense double").orderBy("y", "best", "strong", "dense").toArrow()
+    seen = mapped(rows, measured, "y long, best double, strong double, dense double").toArrow()
     x = np.column_stack([seen.column(k).to_numpy() for k in ("best", "strong", "dense")])
-    weights = logistic(x, seen.column("y").to_numpy().astype(float))
+    y = seen.column("y").to_numpy().astype(float)
+    order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], y))  # sums are then the same in any layout
+    weights = logistic(x[order], y[order])
     used.unpersist()
     discard(rows)
     del counts, seen, x
