@@ -1,7 +1,13 @@
 """A corpus pipeline: rules, toxicity, near duplicates, benchmark items, source weights.
 
-Every stage works on all documents its predecessor kept and returns the columns of documents; the last
-returns the documents that the mix takes, with the words taken of each.
+Every stage works on all documents its predecessor kept and returns the columns of documents, extra ones
+included; the last returns the documents that the mix takes, with the words taken of each.
+
+In every stage an empty table gives an empty one, and texts of any length are read whole.  Null and empty texts
+fall to the rules' least number of words; where they reach a later stage they are not toxic, equal nothing,
+contain nothing, and are not taken.  Null languages, sources and lengths change nothing but the mix, where null
+is a source of its own.  Rows with a null id are judged by the rules, by toxicity and by the mix; near
+duplicates and benchmark items go by id and leave them.  Rows that share an id stay or go together there.
 """
 
 from __future__ import annotations
@@ -17,29 +23,29 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; a share that equals its limit passes."""
     return quality_rules.passing(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic; learnt from the labels of the documents at hand."""
+    """Documents that score below the threshold; learnt from the labels of the documents at hand.  With no labels all stay."""
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates; rows repeated under that id all stay."""
     found = near_dup.near_duplicates(docs, SHINGLE, *SIMILARITY)
     return without_ids(docs, stored(found.where("not kept").select("doc_id")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; with no items all stay."""
     found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
     return without_ids(docs, stored(found.select("doc_id").distinct()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document; documents of which it takes nothing go."""
     return mixing.mix(docs).where("taken > 0")
 
 
