@@ -20,6 +20,8 @@ from .textcore import release
 BROADCAST_ROWS = 200_000
 #: Words are runs of characters outside this class.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Numbers of rows without an id begin here.
+OWN_KEYS = 1 << 62
 _PATHS: dict[int, str] = {}
 
 
@@ -112,6 +114,19 @@ def residue(column: str | Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)), F.lit(0))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key, and the key's column: the id of a row, or for a row without one a number of its own.
+
+    Such numbers are above all ids below ``OWN_KEYS``; only the rows that need them are written.
+    """
+    name = f"key_{uuid.uuid4().hex}"  # no column of the documents has it
+    given = docs.where(F.col("doc_id").isNotNull()).withColumn(name, F.col("doc_id").cast("long"))
+    nameless = docs.where(F.col("doc_id").isNull())
+    if not nameless.limit(1).count():
+        return given, name
+    return given.unionByName(stored(nameless.withColumn(name, F.lit(OWN_KEYS) + F.monotonically_increasing_id()))), name
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in ``gone`` (one column); all columns and null ids stay."""
     name = f"gone_{uuid.uuid4().hex}"  # no column of the documents has it
