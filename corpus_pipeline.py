@@ -6,8 +6,8 @@ included; the last returns the documents that the mix takes, with the words take
 In every stage an empty table gives an empty one, and texts of any length are read whole.  Null and empty texts
 fall to the rules' least number of words; where they reach a later stage they are not toxic, equal nothing,
 contain nothing, and are not taken.  Null languages, sources and lengths change nothing but the mix, where null
-is a source of its own.  Rows with a null id are judged by the rules, by toxicity and by the mix; near
-duplicates and benchmark items go by id and leave them.  Rows that share an id stay or go together there.
+is a source of its own.  Near duplicates and benchmark items go by id: rows that share an id stay or go together
+there, and a row with a null id is a document of its own, after all others (ids are taken to be below 2^62).
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, mixing, near_dup, quality_rules, toxicity
-from factloom.llm.common import stored, table, without_ids
+from factloom.llm.common import keyed, stored, table, without_ids
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 
@@ -34,14 +35,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; rows repeated under that id all stay."""
-    found = near_dup.near_duplicates(docs, SHINGLE, *SIMILARITY)
-    return without_ids(docs, stored(found.where("not kept").select("doc_id")))
+    rows, key = keyed(docs)
+    found = near_dup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), SHINGLE, *SIMILARITY)
+    return without_ids(rows, stored(found.where("not kept").select("doc_id")), key).drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; with no items all stay."""
-    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, stored(found.select("doc_id").distinct()))
+    rows, key = keyed(docs)
+    found = decontaminate.contained_items(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without_ids(rows, stored(found.select("doc_id").distinct()), key).drop(key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
