@@ -693,4 +693,20 @@ def test_pipeline_edges(spark, edge, empty):
             stage(spark, docs, SF).collect()
     kept = without_ids(edge.withColumn("__gone_id", F.lit(4)).withColumn("x", F.lit(4)), spark.createDataFrame([(4,), (4,)], "x long"))
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7]
-    assert json.loads("[]") == []
+
+
+def test_pipeline_judges_rows_without_an_id(spark):
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    copied, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, copied, "first"), (9, copied, "named"), (None, copied, "second"), (None, other, "alone"), (None, other + " " + item, "leak"), (3, "a b c " + item, "leak 2"), (None, None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    stages = dict(p.STAGES)
+    kept = stages["near duplicates"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r["source"] for r in kept.collect()} >= {"named", "alone", "null"}
+    assert not {r["source"] for r in kept.collect()} & {"first", "second"}
+    clean = stages["benchmark decontamination"](spark, kept, SF)
+    assert clean.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in clean.collect()) == [(0, "alone"), (0, "null"), (9, "named")]
